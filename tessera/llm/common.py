@@ -43,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts are long: hand Python workers few rows at a time, so that memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,7 +65,8 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.sum("n"), F.count("doc_id"), F.count(F.lit(1))).first()
     )
     if (n or 0) == seen == distinct:
-        return slim.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        # The filter holds for all rows; said here, every join sees one and the same exchange.
+        return slim.where("doc_id is not null").select(F.col("doc_id").alias("rid"), "doc_id", "text")
     ordered = slim.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text"))
     return materialize(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "keyed")
 

@@ -20,7 +20,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that one task holds at a time before it flushes packed entries.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

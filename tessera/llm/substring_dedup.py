@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, partitions
+from .common import keyed, partitions, small_batches
 
 GRAM = 8
 
@@ -47,7 +47,7 @@ def _window_map(window: int, gram: int, buckets: int):
     def run(batches):
         for rows in R.chunks(batches, "text"):
             h1, h2, rids, poss = [], [], [], []
-            for rid, text, seen in rows:
+            for rid, _, text, seen in rows:
                 codes = R.word_codes(text.encode())
                 at = R.anchors(R.gram_hashes(codes, gram), w)
                 repeated = np.unique(np.frombuffer(b"".join(seen), np.uint32)).astype(np.int64)
@@ -118,6 +118,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM)
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     buckets = 4 * partitions(spark)
     rows = keyed(docs)
     slim = rows.select("rid", "text")
@@ -126,7 +127,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM)
         entries.groupBy("bucket").applyInPandas(lambda p: R.count_anchors(p, buckets), "rid long, a binary")
         .groupBy("rid").agg(F.collect_list("a").alias("seen"))
     )
-    entries = rows.join(repeated, "rid").select("rid", "text", "seen").mapInPandas(_window_map(window, gram, buckets), R.PACKED)
+    entries = rows.join(repeated, "rid").select("rid", "doc_id", "text", "seen").mapInPandas(_window_map(window, gram, buckets), R.PACKED)
     later = (
         entries.groupBy("bucket").applyInPandas(lambda p: _later_windows(p, buckets), "rid long, a binary")
         .groupBy("rid").agg(F.collect_list("a").alias("seen"))
