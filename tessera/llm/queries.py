@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
+from . import chat_format, mixing, url_filter
+from .chat_format import op7_chat_format
+from .media import op4_media_columns
+from .mixing import op9_mixing
 from .substring_dedup import op8_substring_dedup
+from .suffix_dedup import op6_suffix_array_dedup
+from .token_output import op10_token_output
+from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op4_media_columns, op6_suffix_array_dedup, op7_chat_format, op8_substring_dedup, op9_mixing,
+        op10_token_output,
+    )
+}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE, "op7_chat_format": chat_format.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -119,7 +119,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM)
         raise ValueError("gram must be between 1 and window")
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
-    buckets = 4 * partitions(spark)
+    buckets = partitions(spark)
     rows = keyed(docs)
     slim = rows.select("rid", "text")
     entries = slim.mapInPandas(_anchor_map(window, gram, buckets), R.PACKED)
