@@ -52,23 +52,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``rid, doc_id, text``: rid is unique and in the order of (doc_id, nulls last, then text).
 
+    With ``whole`` a fourth column ``row`` holds all columns of docs.
+
     Where doc_id is unique and never null it is rid itself, at the price of one narrow count.
     Otherwise rows are range-sorted once and numbered; equal rows get different numbers, so the
     first of them stays the earliest.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
+    if whole:
+        columns.append(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    slim = docs.select(*columns)
+    names = slim.columns
     n, seen, distinct = (
         slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.sum("n"), F.count("doc_id"), F.count(F.lit(1))).first()
     )
     if (n or 0) == seen == distinct:
         # The filter holds for all rows; said here, every join sees one and the same exchange.
-        return slim.where("doc_id is not null").select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        return slim.where("doc_id is not null").select(F.col("doc_id").alias("rid"), *names)
     ordered = slim.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text"))
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "keyed")
+    return materialize(ordered.select(F.monotonically_increasing_id().alias("rid"), *names), "keyed")
 
 
 def running_sums(df: DataFrame, order: list, sums: list[str], name: str) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from . import chat_format, mixing, url_filter
 from .chat_format import op7_chat_format
+from .decontaminate import op3_decontaminate
+from .jaccard_join import op5_jaccard_join
 from .media import op4_media_columns
 from .mixing import op9_mixing
+from .quality import op2_quality
 from .substring_dedup import op8_substring_dedup
 from .suffix_dedup import op6_suffix_array_dedup
 from .token_output import op10_token_output
@@ -14,8 +17,8 @@ from .url_filter import op1_url_filter
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_url_filter, op4_media_columns, op6_suffix_array_dedup, op7_chat_format, op8_substring_dedup, op9_mixing,
-        op10_token_output,
+        op1_url_filter, op2_quality, op3_decontaminate, op4_media_columns, op5_jaccard_join, op6_suffix_array_dedup,
+        op7_chat_format, op8_substring_dedup, op9_mixing, op10_token_output,
     )
 }
 ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE, "op7_chat_format": chat_format.ORACLE, "op9_mixing": mixing.ORACLE}
