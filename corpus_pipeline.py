@@ -1,17 +1,55 @@
-"""The corpus pipeline: stages over ``documents``, each one an operator of ``tessera.llm``."""
+"""The corpus pipeline: stages over ``documents``, each one an operator of ``tessera.llm``.
+
+1. quality        documents that the quality classifier rejects go
+2. near_copies    one document of each Jaccard class stays, the earliest
+3. leaks          documents that leak a benchmark item go
+4. mix            sources are sampled to their target weights; a document may come several times
+5. tokens         texts become token ids in files; the rows are what is read back from them
+
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm.common import materialize, table
+from tessera.llm.decontaminate import drop_leaks
+from tessera.llm.jaccard_join import keep_one_each
+from tessera.llm.mixing import mix
+from tessera.llm.quality import keep_good
+from tessera.llm.token_output import tokenized
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokenized(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("mix", mixed), ("tokens", tokens)]
 
 #: Classifier fitting, random paths and token ids are beyond SQL; tests use brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents, each one's rows written before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
