@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2**64
@@ -119,22 +120,52 @@ def coverage(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-# Packed rows. kind 0: entries of a hash bucket. kind 1: facts that a task already knows of rid.
-PACKED = "bucket int, kind int, rid long, a binary, b binary, c binary, d binary"
-COLUMNS = ["bucket", "kind", "rid", "a", "b", "c", "d"]
+# Packed rows. kind 0: entries of a hash bucket. kind 1: facts that a task already knows, packed for
+# a group of row ids (rid modulo the number of buckets), so that they are few rows too.
+PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary"
+COLUMNS = ["bucket", "kind", "a", "b", "c", "d"]
+#: Facts on their way to their documents: row ids and up to two payloads.
+FACTS = "grp int, a binary, b binary, c binary"
 
 
 def facts(rid: np.ndarray, payload: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """Rows of kind 1: for each rid its payload arrays, as uint32."""
+    """Rows of kind 1: row ids and payload arrays (as uint32) for each group of row ids."""
     if not len(rid):
         return
-    order = np.argsort(rid, kind="stable")
-    rid = rid[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(rid)) + 1, [len(rid)]])
-    cols = [p[order].astype(np.uint32) for p in payload]
+    group = rid % buckets
+    order = np.lexsort((rid, group))
+    group = group[order]
+    cols = [rid[order].astype(np.int64), *[p[order].astype(np.uint32) for p in payload]]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     for lo, hi in zip(cut[:-1], cut[1:]):
         blobs = [c[lo:hi].tobytes() for c in cols]
-        yield (int(rid[lo] % buckets), 1, int(rid[lo]), *blobs, *[None] * (4 - len(blobs)))
+        yield (int(group[lo]), 1, *blobs, *[None] * (4 - len(blobs)))
+
+
+def only_facts(rows) -> pd.DataFrame:
+    """The reduce side's result: its facts as rows of FACTS."""
+    return pd.DataFrame([(r[0], *r[2:5]) for r in rows], columns=["grp", "a", "b", "c"])
+
+
+def to_documents(pdf: pd.DataFrame, payloads: int) -> pd.DataFrame:
+    """The facts of one group of row ids as a row for each of them."""
+    rid = np.frombuffer(b"".join(pdf["a"]), np.int64)
+    cols = [np.frombuffer(b"".join(pdf[c]), np.uint32) for c in "bc"[:payloads]]
+    order = np.argsort(rid, kind="stable")
+    rid = rid[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(rid)) + 1, [len(rid)]]) if len(rid) else np.zeros(1, int)
+    out = {"rid": rid[cut[:-1]]}
+    for name, c in zip("ab", cols):
+        c = c[order]
+        out[name] = [c[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]
+    return pd.DataFrame(out)
+
+
+def by_document(packed: DataFrame, reduce, payloads: int = 1) -> DataFrame:
+    """Reduce each bucket of PACKED rows to facts, and bring them to ``rid, a[, b]``."""
+    found = packed.groupBy("bucket").applyInPandas(reduce, FACTS)
+    schema = "rid long, " + ", ".join(f"{c} binary" for c in "ab"[:payloads])
+    return found.groupBy("grp").applyInPandas(lambda p: to_documents(p, payloads), schema)
 
 
 def by_bucket(h: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple]:
@@ -148,7 +179,7 @@ def by_bucket(h: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterato
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     for lo, hi in zip(cut[:-1], cut[1:]):
         blobs = [c[lo:hi].tobytes() for c in cols]
-        yield (int(bucket[lo]), 0, None, *blobs, *[None] * (4 - len(blobs)))
+        yield (int(bucket[lo]), 0, *blobs, *[None] * (4 - len(blobs)))
 
 
 def chunks(batches: Iterator[pd.DataFrame], text: str, limit: int = CHUNK_BYTES) -> Iterator[list]:
@@ -204,5 +235,4 @@ def count_anchors(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
         twice[:-1] |= same
         new = twice & (many == 0)
         rows += facts(rid[new], [pos[new]], buckets)
-    out = frame(rows)
-    return out[["rid", "a"]]
+    return only_facts(rows)

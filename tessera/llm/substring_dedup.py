@@ -50,7 +50,7 @@ def _window_map(window: int, gram: int, buckets: int):
             for rid, _, text, seen in rows:
                 codes = R.word_codes(text.encode())
                 at = R.anchors(R.gram_hashes(codes, gram), w)
-                repeated = np.unique(np.frombuffer(b"".join(seen), np.uint32)).astype(np.int64)
+                repeated = np.unique(np.frombuffer(seen, np.uint32)).astype(np.int64)
                 pos = np.flatnonzero(np.isin(at, repeated))
                 if len(pos):
                     h1.append(R.gram_hashes(codes, window)[pos])
@@ -82,7 +82,7 @@ def _later_windows(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
         h1, h2, rid, pos = h1[order], h2[order], rid[order], pos[order]
         later = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
         rows += R.facts(rid[later], [pos[later]], buckets)
-    return R.frame(rows)[["rid", "a"]]
+    return R.only_facts(rows)
 
 
 def _cut(window: int):
@@ -93,7 +93,7 @@ def _cut(window: int):
                 words = text.encode().split()
                 kept, spans = words, np.zeros((0, 2), np.int64)
                 if seen is not None and len(seen):
-                    starts = np.unique(np.frombuffer(b"".join(seen), np.uint32)).astype(np.int64)
+                    starts = np.unique(np.frombuffer(seen, np.uint32)).astype(np.int64)
                     mask = R.coverage(len(words), starts, np.full(len(starts), window))
                     spans = R.runs(np.flatnonzero(mask))
                     kept = list(compress(words, ~mask))
@@ -123,15 +123,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM)
     rows = keyed(docs)
     slim = rows.select("rid", "text")
     entries = slim.mapInPandas(_anchor_map(window, gram, buckets), R.PACKED)
-    repeated = (
-        entries.groupBy("bucket").applyInPandas(lambda p: R.count_anchors(p, buckets), "rid long, a binary")
-        .groupBy("rid").agg(F.collect_list("a").alias("seen"))
-    )
+    repeated = R.by_document(entries, lambda p: R.count_anchors(p, buckets)).withColumnRenamed("a", "seen")
     entries = rows.join(repeated, "rid").select("rid", "doc_id", "text", "seen").mapInPandas(_window_map(window, gram, buckets), R.PACKED)
-    later = (
-        entries.groupBy("bucket").applyInPandas(lambda p: _later_windows(p, buckets), "rid long, a binary")
-        .groupBy("rid").agg(F.collect_list("a").alias("seen"))
-    )
+    later = R.by_document(entries, lambda p: _later_windows(p, buckets)).withColumnRenamed("a", "seen")
     schema = "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept_text string"
     return rows.join(later, "rid", "left").select("doc_id", "text", "seen").mapInPandas(_cut(window), schema)
 

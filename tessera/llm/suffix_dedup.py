@@ -23,7 +23,7 @@ from .common import keyed, partitions, small_batches, table
 GRAM = 32
 PERIOD = 32
 #: Suffixes that are sorted at a time within a bucket.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @lru_cache
@@ -189,7 +189,7 @@ def _context_map(length: int, gram: int, buckets: int):
             at = R.anchors(grams, w)
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             last = np.append(first[1:], len(at)) - 1
-            keep = np.isin(at[first], np.frombuffer(b"".join(seen), np.uint32).astype(np.int64))
+            keep = np.isin(at[first], np.frombuffer(seen, np.uint32).astype(np.int64))
             lo, hi = first[keep], last[keep] + length
             spots = at[lo]
             for a, b, p, h in zip(lo.tolist(), hi.tolist(), spots.tolist(), grams[spots].tolist()):
@@ -205,7 +205,7 @@ def _context_map(length: int, gram: int, buckets: int):
             for bucket, xs in held.items():
                 numbers = np.array([(x[2], len(x[0]), x[4]) for x in xs], np.uint32)
                 out.append((
-                    bucket, 0, None, np.array([x[3] for x in xs], np.uint64).tobytes(),
+                    bucket, 0, np.array([x[3] for x in xs], np.uint64).tobytes(),
                     np.array([x[1] for x in xs], np.int64).tobytes(), numbers.tobytes(), b"".join(x[0] for x in xs),
                 ))
             yield R.frame(out)
@@ -260,7 +260,7 @@ def _bucket_reduce(pdf: pd.DataFrame, length: int, v: int, buckets: int) -> pd.D
             rid, start = _sort_bucket(block, length, v)
             rows += R.facts(rid, [start, np.ones(len(start))], buckets)
             block, size = [], 0
-    return R.frame(rows)[["rid", "a", "b"]]
+    return R.only_facts(rows)
 
 
 def _cut(length: int):
@@ -271,8 +271,8 @@ def _cut(length: int):
                 data = text.encode()
                 kept, spans = data, np.zeros((0, 2), np.int64)
                 if starts is not None and len(starts):
-                    at = np.frombuffer(b"".join(starts), np.uint32).astype(np.int64)
-                    n = np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+                    at = np.frombuffer(starts, np.uint32).astype(np.int64)
+                    n = np.frombuffer(counts, np.uint32).astype(np.int64)
                     mask = R.coverage(len(data), at, n + length - 1)
                     spans = R.runs(np.flatnonzero(mask))
                     kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
@@ -298,19 +298,12 @@ def remove_repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM
     if length < max(gram, 2 * v + 7):
         raise ValueError("length must be at least the gram, and 7 over twice the cover's period")
     small_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
+    buckets = 4 * partitions(docs.sparkSession)
     rows = keyed(docs)
     entries = rows.select("rid", "text").mapInPandas(_anchor_map(length, gram, buckets), R.PACKED)
-    repeated = (
-        entries.groupBy("bucket").applyInPandas(lambda p: R.count_anchors(p, buckets), "rid long, a binary")
-        .groupBy("rid").agg(F.collect_list("a").alias("seen"))
-    )
+    repeated = R.by_document(entries, lambda p: R.count_anchors(p, buckets)).withColumnRenamed("a", "seen")
     entries = rows.join(repeated, "rid").select("rid", "doc_id", "text", "seen").mapInPandas(_context_map(length, gram, buckets), R.PACKED)
-    later = (
-        entries.groupBy("bucket").applyInPandas(lambda p: _bucket_reduce(p, length, v, buckets), "rid long, a binary, b binary")
-        .groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("x"))
-        .select("rid", F.col("x.a").alias("starts"), F.col("x.b").alias("counts"))
-    )
+    later = R.by_document(entries, lambda p: _bucket_reduce(p, length, v, buckets), 2).withColumnsRenamed({"a": "starts", "b": "counts"})
     schema = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary"
     return rows.join(later, "rid", "left").select("doc_id", "text", "starts", "counts").mapInPandas(_cut(length), schema)
 
