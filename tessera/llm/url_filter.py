@@ -24,7 +24,8 @@ RULES = (
 )
 FLOOR = 0.5
 Z = 2.0
-MIN_WEIGHT, MAX_WEIGHT = 1.0, 1000.0
+#: Bounds of a prior in labels: one label is counted at every level and must not convict a host.
+MIN_WEIGHT, MAX_WEIGHT = 5.0, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -145,13 +146,13 @@ domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GRO
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY 1),
 overall AS (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) AS parent FROM suffixes),
 s0 AS (SELECT suffixes.*, parent FROM suffixes, overall),
-sw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 1), 1000), 1000) AS w FROM s0 WHERE n > 0),
+sw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 5), 1000), 1000) AS w FROM s0 WHERE n > 0),
 s AS (SELECT suffix, (good + w * parent) / (n + w) AS parent FROM s0, sw),
 d0 AS (SELECT domains.*, parent FROM domains JOIN s USING (suffix)),
-dw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 1), 1000), 1000) AS w FROM d0 WHERE n > 0),
+dw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 5), 1000), 1000) AS w FROM d0 WHERE n > 0),
 d AS (SELECT domain, (good + w * parent) / (n + w) AS parent FROM d0, dw),
 h0 AS (SELECT hosts.*, parent FROM hosts JOIN d USING (domain)),
-hw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 1), 1000), 1000) AS w FROM h0 WHERE n > 0),
+hw AS (SELECT coalesce(least(greatest(CASE WHEN sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent)) > 0 THEN sum((n - 1) * parent * (1 - parent)) / (sum(n * power(good / n - parent, 2)) - sum(parent * (1 - parent))) - 1 ELSE 1000 END, 5), 1000), 1000) AS w FROM h0 WHERE n > 0),
 h AS (SELECT host, (good + w * parent) / (n + w) AS mean, n + w AS weight FROM h0, hw),
 rules(what, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fits AS (
