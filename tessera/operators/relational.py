@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import falsy, leaf_category, normalize_query
+from tessera.sources.shared import materialize
 
 #: Fixed multiplier of the portable hash that orders rows at random but the same everywhere.
 HASH = 2654435761
@@ -42,21 +43,22 @@ def not_done(df: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     return df.join(done.select(key).distinct(), key, "left_anti")
 
 
-def positional_id(df: DataFrame, order: str) -> DataFrame:
+def positional_id(df: DataFrame, *order: str) -> DataFrame:
     """``position`` from 1 in the given order, without one task for all rows.
 
-    Parts of a range sort are counted, and each one's rows are numbered from its start.
+    The sorted rows are written to the shared folder, so that their parts stay as they are; each
+    part is counted, and its rows are numbered from its start. Hand over narrow rows.
     """
     spark = df.sparkSession
-    ordered = df.orderBy(order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
-    counts = ordered.groupBy("_part").count().orderBy("_part").collect()  # a row for each partition
+    flat = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "positions")
+    flat = flat.withColumn("_part", F.shiftright("_at", 33))
     base, starts = 0, []
-    for row in counts:
+    for row in flat.groupBy("_part").count().orderBy("_part").collect():  # a row for each part
         starts.append((row["_part"], base))
         base += row["count"]
     starts = spark.createDataFrame(starts, "_part long, _base long")
     within = F.col("_at") - F.shiftleft(F.col("_part"), 33)
-    return ordered.join(F.broadcast(starts), "_part").withColumn("position", F.col("_base") + within + 1).drop("_at", "_part", "_base")
+    return flat.join(F.broadcast(starts), "_part").withColumn("position", F.col("_base") + within + 1).drop("_at", "_part", "_base")
 
 
 def portable_hash(key: Column, seed: int = 42) -> Column:
@@ -73,21 +75,25 @@ def stratified_split(df: DataFrame, stratum: str, key: str = "id", test_share: f
     """``split`` (train or test): test has ceil(share * n) rows, dealt to strata by their sizes.
 
     Strata get the floor of their share, the rest goes to the largest remainders (ties: smaller
-    stratum first). Within a stratum the rows of the smallest hash are the test. Hash cuts are
-    exact: rows are ranked in the stratum's hash order.
+    stratum first). Within a stratum the rows of the smallest hash are the test. Keys must be
+    unique. Only the strata's sizes meet in windows; rows are numbered by a range sort of
+    (stratum, hash, key), so a stratum with most rows is spread over tasks.
     """
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     everything = Window.partitionBy()
     total = F.sum("_n").over(everything)
     wanted = F.ceil(total * test_share)
     quota = F.col("_n") * wanted / total
+    by_name = Window.orderBy(F.col(stratum).asc_nulls_first())
     shares = sizes.withColumn("_floor", F.floor(quota)).withColumn("_rest", quota - F.floor(quota)).withColumn("_left", wanted - F.sum(F.floor(quota)).over(everything))
     extra = F.row_number().over(Window.orderBy(F.col("_rest").desc(), F.col(stratum).asc_nulls_first()))
-    shares = shares.withColumn("_test", F.col("_floor") + (extra <= F.col("_left")).cast("long")).select(F.col(stratum).alias("_s"), "_test")
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(portable_hash(F.col(key), seed), F.col(key)))
-    ranked = df.withColumn("_rank", rank)
-    joined = ranked.join(F.broadcast(shares), F.col(stratum).eqNullSafe(F.col("_s")))
-    return joined.withColumn("split", F.when(F.col("_rank") <= F.col("_test"), "test").otherwise("train")).drop("_s", "_test", "_rank")
+    start = F.coalesce(F.sum("_n").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = shares.select(F.col(stratum).alias("_s"), (F.col("_floor") + (extra <= F.col("_left")).cast("long")).alias("_test"), start.alias("_start"))
+    keys = df.select(F.col(stratum).alias("_s"), portable_hash(F.col(key), seed).alias("_h"), F.col(key).alias("_k"))
+    ranked = positional_id(keys, "_s", "_h", "_k").withColumnRenamed("_s", "_t")
+    tests = ranked.join(shares, F.col("_t").eqNullSafe(F.col("_s"))).select("_k", (F.col("position") - F.col("_start") <= F.col("_test")).alias("_is"))
+    joined = df.join(tests, df[key] == tests["_k"], "left")
+    return joined.withColumn("split", F.when(F.col("_is"), "test").otherwise("train")).drop("_k", "_is")
 
 
 def mask_prompt(ids: Column, prompt_length: Column, ignored: int = -100) -> Column:
@@ -105,3 +111,8 @@ def truncate_with_end(ids: Column, cutoff: int, end_id: int) -> Column:
     cut = F.slice(ids, 1, cutoff)
     open_end = (F.size(cut) < cutoff) & ~F.coalesce(F.try_element_at(cut, F.lit(-1)) == end_id, F.lit(False))
     return F.when(open_end, F.concat(cut, F.array(F.lit(end_id)))).otherwise(cut)
+
+
+def pad_right(ids: Column, fill: int = 0, multiple: int = 8) -> Column:
+    """The ids with fill values up to the next multiple of a length."""
+    return F.concat(ids, F.array_repeat(F.lit(fill), F.pmod(-F.size(ids), F.lit(multiple))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.relational import positional_id
+
 # Terms that mislead a scorer, and default thresholds.
 FP_TERMS = (
     r"\b1/64\b", r"\b1:64\b", r"\bfigure\b", r"\bdiecast\b", r"\bpgm\b", r"\brwb\b",
@@ -17,6 +19,8 @@ FN_TERMS = (
 DEFAULTS = {"hi_cos": 0.35, "hi_jac": 0.20, "lo_cos": 0.12, "lo_jac": 0.05}
 P_HI, P_LO = 0.90, 0.10
 MIN_SUPPORT = 100
+#: Rows of a language and label whose exact quantiles one task may take; more go by rank.
+TASK_ROWS = 1 << 22
 
 
 def any_term(text: Column, patterns) -> Column:
@@ -34,11 +38,35 @@ def quantiles(rows: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame, autotune: bool = True, min_support: int = MIN_SUPPORT) -> DataFrame:
+def quantiles_by_rank(rows: DataFrame) -> DataFrame:
+    """The same as ``quantiles``, exact too, from ranks of a range sort.
+
+    ``percentile`` keeps a language's distinct values in one task; here a value is a narrow row
+    that any task may hold, and only the two rows around a quantile are looked at.
+    """
+    measures = F.array(*[F.struct(F.lit(m).alias("m"), F.col(c).alias("v")) for m, c in (("cos", "tfidf_cos"), ("jac", "jac"))])
+    values = rows.where("language is not null").select("language", "label", F.explode(measures).alias("x")).select("language", "label", "x.m", "x.v")
+    placed = positional_id(values, "language", "label", "m", "v")
+    keys = ["language", "label", "m"]
+    at = (F.col("n") - 1) * F.when(F.col("label") == "0", F.lit(P_HI)).otherwise(F.lit(P_LO))
+    groups = placed.groupBy(*keys).agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("at", at)
+    near = placed.join(groups, keys).withColumn("step", F.col("position") - F.col("first") - F.floor("at")).where("step in (0, 1)")
+    low, high = (F.max(F.when(F.col("step") == i, F.col("v"))) for i in (0, 1))
+    share = F.any_value("at") - F.floor(F.any_value("at"))
+    found = near.groupBy(*keys).agg(F.any_value("n").alias("n"), (low + share * (F.coalesce(high, low) - low)).alias("q"))
+    pick = lambda c, label, m="cos": F.max(F.when((F.col("label") == label) & (F.col("m") == m), F.col(c)))
+    return found.groupBy("language").agg(
+        F.coalesce(pick("n", "0"), F.lit(0)).alias("n0"), F.coalesce(pick("n", "1"), F.lit(0)).alias("n1"),
+        pick("q", "0").alias("q_hi_cos"), pick("q", "0", "jac").alias("q_hi_jac"), pick("q", "1").alias("q_lo_cos"), pick("q", "1", "jac").alias("q_lo_jac"),
+    )
+
+
+def thresholds(rows: DataFrame, autotune: bool = True, min_support: int = MIN_SUPPORT, by_rank: bool = False) -> DataFrame:
     """``language, hi_cos, hi_jac, lo_cos, lo_jac``.
 
     A class under ``min_support`` rows takes the defaults. The upper bounds are at least 0.6 of
     their default, the lower ones at most the *upper* bounds' default. Null languages have none.
+    ``by_rank``: for groups whose distinct values are too many for one task.
     """
     if not autotune:
         return rows.select("language").where("language is not null").distinct().select("language", *[F.lit(v).alias(k) for k, v in DEFAULTS.items()])
@@ -49,7 +77,8 @@ def thresholds(rows: DataFrame, autotune: bool = True, min_support: int = MIN_SU
         upper = DEFAULTS["hi" + name[2:]]
         return (F.greatest(value, F.lit(upper * 0.6)) if high else F.least(value, F.lit(upper))).alias(name)
 
-    return quantiles(rows).select("language", *[tuned(k) for k in DEFAULTS])
+    found = quantiles_by_rank(rows) if by_rank else quantiles(rows)
+    return found.select("language", *[tuned(k) for k in DEFAULTS])
 
 
 def add_thresholds(rows: DataFrame, found: DataFrame) -> DataFrame:

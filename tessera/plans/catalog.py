@@ -17,6 +17,7 @@ from tessera.plans import refine
 from tessera.plans.oracle import ORACLE_SQL  # noqa: F401
 from tessera.plans.views import view
 from tessera.sources import files
+from tessera.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -479,22 +480,10 @@ def token_total(df):
 # Files: written to the shared folder, read back
 
 
-def _shared(spark, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def scan_jsonl(spark, sf_dir):
     rows = view(spark, sf_dir, "gens")
-    path = _shared(spark, "jsonl")
+    path = shared_path(spark, "jsonl")
     files.write_jsonl(rows, path)
     return files.read_jsonl(spark, path, rows.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "))
 
@@ -502,10 +491,11 @@ def scan_jsonl(spark, sf_dir):
 @query
 def scan_json_array(spark, sf_dir):
     rows = view(spark, sf_dir, "gens").select("id", "gen_text", "prompt_for_train")
-    path = _shared(spark, "json-array")
-    # One array for each part of the rows: text files that are valid JSON as a whole.
-    part = F.pmod(F.xxhash64("id"), F.lit(16))
-    arrays = rows.groupBy(part.alias("p")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).drop("p")
-    arrays.write.option("lineSep", "\n").partitionBy().text(path)
-    single = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<id:string,gen_text:string,prompt_for_train:string>>")).alias("r"))
-    return single.select("r.*")
+    path = shared_path(spark, "json-array")
+    files.write_json_arrays(rows, path)
+    return files.read_json_array(spark, path, "id string, gen_text string, prompt_for_train string")
+
+
+@query
+def lang_quantiles_by_rank(spark, sf_dir):
+    return _rounded(U.quantiles_by_rank(_titles(spark, sf_dir)), "q_hi_cos", "q_hi_jac", "q_lo_cos", "q_lo_jac")

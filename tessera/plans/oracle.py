@@ -265,3 +265,4 @@ ORACLE_SQL: dict[str, str] = {
     "scan_jsonl": over("gens", "SELECT * FROM gens"),
     "scan_json_array": over("gens", "SELECT id, gen_text, prompt_for_train FROM gens"),
 }
+ORACLE_SQL["lang_quantiles_by_rank"] = ORACLE_SQL["lang_quantiles"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import similarity, suspects
 from tessera.operators.relational import project_common, valid_rows
+from tessera.sources.shared import materialize
 
 ITEM = {"QI": "item_title", "QC": "category_path"}
 
@@ -40,13 +41,22 @@ def join_predictions(rows: DataFrame, preds: DataFrame | None) -> DataFrame:
     return joined.withColumn("disagree", suspects.disagrees(F.col("label"), F.col("pred")))
 
 
-def flagged(pairs: DataFrame, preds: DataFrame | None, task: str = "QI", autotune: bool = True, min_support: int = suspects.MIN_SUPPORT, row_id: str = "id") -> DataFrame:
+def largest_class(pairs: DataFrame) -> int:
+    """Rows of the largest language and label."""
+    return pairs.groupBy("language", "label").count().agg(F.max("count")).first()[0] or 0
+
+
+def flagged(pairs: DataFrame, preds: DataFrame | None, task: str = "QI", autotune: bool = True, min_support: int = suspects.MIN_SUPPORT, row_id: str = "id", task_rows: int = suspects.TASK_ROWS) -> DataFrame:
     """Every valid row with its similarities, thresholds and both flags.
 
-    Quantiles are taken after the prediction join, so its extra rows count.
+    Quantiles are taken after the prediction join, so its extra rows count. Whether one task may
+    take a language's quantiles is decided by the size of its largest class, from two columns.
     """
     rows = join_predictions(similarities(pairs, task, row_id), preds)
-    found = suspects.thresholds(rows, autotune, min_support)
+    by_rank = autotune and largest_class(pairs) > task_rows
+    if by_rank:  # the rows are needed for the ranks and again for the rules
+        rows = materialize(rows, "similarities")
+    found = suspects.thresholds(rows, autotune, min_support, by_rank)
     return suspects.add_suspects(suspects.add_thresholds(rows, found))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,22 @@ def write_json_array(df: DataFrame, path: str, indent: int = 2) -> None:
             out.write(piece)
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """Each part of the rows as a text file that is one JSON array, written by its task."""
+
+    def bracketed(batches):
+        before = "["
+        for pdf in batches:
+            lines = [f"{',' if i or before != '[' else '['}{x}" for i, x in enumerate(pdf["value"])]
+            if lines:
+                before = ","
+                yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["[]" if before == "[" else "]"]})
+
+    objects = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    objects.mapInPandas(bracketed, "value string").write.text(path)
+
+
 def summary(spark: SparkSession, **fields) -> DataFrame:
     """A one-row table of run figures."""
     return spark.createDataFrame([json.dumps(fields)], "string").select(F.col("value").alias("summary"))

@@ -59,6 +59,20 @@ def test_thresholds(spark):
     assert (joined["hi_cos"], joined["lo_jac"]) == (0.35, 0.05)
 
 
+def test_quantiles_by_rank(spark):
+    rows = [(x, str(i % 2), ((i * 37) % 101) / 7, (i * 13 % 11) / 3) for i in range(203) for x in ("en", "de", None)] + [("one", "1", 0.5, 0.25)]
+    df = spark.createDataFrame(rows, "language string, label string, tfidf_cos double, jac double")
+    take = lambda d: sorted((r["language"], r["n0"], r["n1"], *[None if r[c] is None else round(r[c], 9) for c in ("q_hi_cos", "q_hi_jac", "q_lo_cos", "q_lo_jac")]) for r in d.collect())
+    assert take(U.quantiles_by_rank(df)) == take(U.quantiles(df))
+
+
+def test_large_classes_go_by_rank(spark):
+    rows = [(str(i), "en", f"red lamp {i % 9}", f"lamp {i % 7} red", str(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, language string, origin_query string, item_title string, label string")
+    flags = lambda n: sorted((r["id"], r["suspect_with_pred"]) for r in refine.flagged(df, None, task_rows=n).collect())
+    assert flags(10) == flags(10_000)
+
+
 def flag(spark, **values):
     row = {"label": "0", "tfidf_cos": 0.0, "jac": 0.0, "q_norm": "a", "i_norm": "b", "disagree": False, "prob1": None} | U.DEFAULTS | values
     schema = ", ".join(f"{k} {'string' if k in ('label', 'q_norm', 'i_norm') else 'boolean' if k == 'disagree' else 'double'}" for k in row)
@@ -129,6 +143,8 @@ def test_masks(spark):
     assert got == [[-100, -100, 3, 4], [-100], []]
     cut = [r["c"] for r in df.select(R.truncate_with_end(F.col("ids"), 3, 0).alias("c")).collect()]
     assert cut == [[1, 2, 3], [1, 0], [0]]
+    padded = [r["p"] for r in df.select(R.pad_right(F.col("ids"), 9, 4).alias("p")).collect()]
+    assert padded == [[1, 2, 3, 4], [1, 9, 9, 9], []]
 
 
 def test_f1(spark):
