@@ -5,7 +5,7 @@ threshold. A sampled token is a child of the set's node; sampling goes on below
 hash, ``depth`` levels down, which makes a tree of token paths. Similar sets follow shared paths
 (each shared child is a branch of a surviving process), others part. Sets that end in the same
 leaf meet there: small leaves are compared as they are, larger ones in blocks of rows against
-blocks of rows. Runs with fresh hashes are repeated until a pair at the threshold is found with
+blocks of rows, and of leaves with the same members one. Runs with fresh hashes are repeated until a pair at the threshold is found with
 the target probability.
 
 Leaves compare bottom-k sketches and yield candidate groups; each group's whole sets are then
@@ -17,6 +17,7 @@ one edge per document and group.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, materialize, small_batches, table
+from .common import keyed, materialize, partitions, small_batches, table
 from .components import connected_components
 
 GRAM = 5
@@ -143,26 +144,53 @@ class Components:
                 self.label[np.isin(self.label, mine)] = least
 
 
-def _group_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Leaf members whose sketches agree, as (member, least member of its component)."""
-    pdf = pdf.drop_duplicates("rid").sort_values("rid")
-    rid = pdf["rid"].to_numpy()
-    if len(rid) < 2:
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    sketches = [np.frombuffer(s, np.uint32) for s in pdf["sketch"]]
-    size = pdf["size"].to_numpy()
+def _alike(sketches: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """For each member of a leaf the least member of its component of agreeing sketches.
+
+    Loose: a pair at the threshold shares far more of its sketches, but for bad luck beyond six
+    standard deviations; the exact comparison decides later.
+    """
     width = np.array([len(s) for s in sketches])
-    parts = Components(len(rid))
+    if len(sketches) == 2:
+        shared = len(np.intersect1d(*sketches, assume_unique=True))
+        return np.array([0, int(shared < 0.5 * width.min() or size.min() < 0.75 * size.max())])
+    parts = Components(len(sketches))
     for lo, hi, shared in shared_counts(sketches):
-        # Loose: a pair at the threshold shares far more of its sketches, but for bad luck beyond
-        # six standard deviations; the exact comparison decides later.
         alike = shared >= 0.5 * np.minimum(width[lo:hi, None], width[None, :])
         alike &= np.minimum(size[lo:hi, None], size[None, :]) >= 0.75 * np.maximum(size[lo:hi, None], size[None, :])
         alike[np.arange(hi - lo), np.arange(lo, hi)] = False
         parts.add(lo, alike)
-    root = parts.label
-    other = root != np.arange(len(rid))
-    return pd.DataFrame({"a": rid[other], "b": rid[root[other]]})
+    return parts.label
+
+
+def _leaf_edges(batches):
+    """Rows sorted by (leaf, lo, hi, rid): for each task's members (member, least of its component).
+
+    Small groups are many: they are cut from whole batches, and only one group is held over.
+    """
+    held = None
+    for pdf in itertools.chain(batches, [None]):
+        if pdf is None:
+            rows, last = held, True
+        else:
+            rows, last = pdf if held is None else pd.concat([held, pdf]), False
+        if rows is None or not len(rows):
+            continue
+        leaf, lo, hi = (rows[c].to_numpy() for c in ("leaf", "lo", "hi"))
+        cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        ends = [*cuts.tolist(), len(rows)] if last else cuts.tolist()
+        rid, size = rows["rid"].to_numpy(), rows["size"].to_numpy()
+        sketch = rows["sketch"].to_numpy()
+        a, b, at = [], [], 0
+        for end in ends:
+            label = _alike([np.frombuffer(s, np.uint32) for s in sketch[at:end]], size[at:end])
+            other = np.flatnonzero(label != np.arange(end - at))
+            a.append(rid[at + other])
+            b.append(rid[at + label[other]])
+            at = end
+        held = rows.iloc[at:]
+        if a:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
 
 def _exact(pdf: pd.DataFrame, gram: int, threshold: float) -> pd.DataFrame:
@@ -186,14 +214,19 @@ def _exact(pdf: pd.DataFrame, gram: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"rid": rid, "links": links, "root": rid[parts.label]})
 
 
-def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, group: str, block: int, once: bool = False) -> DataFrame:
     """Rows of each group with two or more, with the keys of the tasks that compare them.
 
     A group of up to ``block`` rows is one task. A larger one is cut into blocks, and each row
-    goes to the pairs of blocks that hold its own: every two rows meet in one task.
+    goes to the pairs of blocks that hold its own: every two rows meet in one task. ``once``: of
+    groups with the same members one is enough (they are told apart by 128 bits of hashes).
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumnRenamed(group, "g")
-    rows = rows.join(sizes, rows[group] == sizes["g"]).drop("g")
+    members = F.count(F.lit(1)).alias("members")
+    sizes = rows.groupBy(group).agg(members, F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
+    sizes = sizes.where("members > 1").withColumnRenamed(group, "g")
+    if once:
+        sizes = sizes.groupBy("members", "x", "y").agg(F.min("g").alias("g"))
+    rows = rows.join(sizes.select("g", "members"), rows[group] == sizes["g"]).drop("g")
     count = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("rid"), count).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -212,9 +245,10 @@ def jaccard_groups(rows: DataFrame, threshold: float = THRESHOLD, gram: int = GR
 
     own = signed.select("rid", "size", "sketch", "leaves").join(sets.select("rep"), F.col("rid") == F.col("rep"), "left_semi")
     members = own.select("rid", F.explode("leaves").alias("leaf"))
-    met = _in_blocks(members, "leaf", block)
+    met = _in_blocks(members, "leaf", block, once=True)
     met = met.join(signed.select(F.col("rid").alias("r"), "size", "sketch"), F.col("rid") == F.col("r")).drop("r")
-    candidates = met.groupBy("leaf", "lo", "hi").applyInPandas(_group_edges, "a long, b long")
+    dealt = met.repartition(partitions(rows.sparkSession), "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "rid")
+    candidates = dealt.select("leaf", "lo", "hi", "rid", "size", "sketch").mapInPandas(_leaf_edges, "a long, b long")
     groups = connected_components(candidates, "jaccard-candidates")
 
     copies = sets.select("rep", "copies")
