@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import materialize, shared_path as scratch_path  # noqa: F401
+
 #: Six ASCII white-space characters; a word is a run of anything else.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -15,37 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a folder of our own is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts are long: hand Python workers few rows at a time, so that memory stays bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker that waits for its next task keeps it else."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: lineage ends, executors may be lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def trimmed(run):
+    """A partition function that releases memory when its partition is done."""
 
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts are long: hand Python workers few rows at a time, so that memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return wrapped
 
 
 def partitions(spark: SparkSession) -> int:

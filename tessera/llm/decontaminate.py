@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, trimmed
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6  # of the item's score against itself
@@ -217,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-            run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+            trimmed(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
         )
         out = part if out is None else out.unionAll(part)
     return out
@@ -233,7 +233,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not index.matches(t, retrieve, overlap) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, materialize, partitions, small_batches, table
+from .common import keyed, materialize, partitions, small_batches, table, trimmed
 from .components import connected_components
 
 GRAM = 5
@@ -110,7 +110,7 @@ def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return rows[keep], number[column[keep]], int(shared.sum())
 
 
-def shared_counts(sets: list[np.ndarray], block: int = 256, columns: int = 4096):
+def shared_counts(sets: list[np.ndarray], block: int = 256, columns: int = 1024):
     """For row blocks lo:hi of the sets, the sizes of their intersections with all sets."""
     rows, cols, width = _incidence(sets)
     order = np.lexsort((rows, cols))
@@ -238,7 +238,7 @@ def _in_blocks(rows: DataFrame, group: str, block: int, once: bool = False) -> D
 def jaccard_groups(rows: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """``rid, root, links`` for each row of ``rows(rid, text)``; rid must be unique."""
     runs = runs_for(threshold, depth, recall)
-    signed = rows.select("rid", "text").mapInPandas(_signatures(gram, threshold, depth, runs), "rid long, key binary, size long, sketch binary, leaves array<long>")
+    signed = rows.select("rid", "text").mapInPandas(trimmed(_signatures(gram, threshold, depth, runs)), "rid long, key binary, size long, sketch binary, leaves array<long>")
     signed = materialize(signed, "jaccard-signatures")
     sets = signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets, "jaccard-sets")
@@ -248,7 +248,7 @@ def jaccard_groups(rows: DataFrame, threshold: float = THRESHOLD, gram: int = GR
     met = _in_blocks(members, "leaf", block, once=True)
     met = met.join(signed.select(F.col("rid").alias("r"), "size", "sketch"), F.col("rid") == F.col("r")).drop("r")
     dealt = met.repartition(partitions(rows.sparkSession), "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "rid")
-    candidates = dealt.select("leaf", "lo", "hi", "rid", "size", "sketch").mapInPandas(_leaf_edges, "a long, b long")
+    candidates = dealt.select("leaf", "lo", "hi", "rid", "size", "sketch").mapInPandas(trimmed(_leaf_edges), "a long, b long")
     groups = connected_components(candidates, "jaccard-candidates")
 
     copies = sets.select("rep", "copies")

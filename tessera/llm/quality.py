@@ -9,6 +9,7 @@ odds for those of the document's path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import materialize, release_memory, small_batches, table
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hash.
 FIT_ROWS = 20_000
@@ -153,8 +154,10 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
 def _evidence(model: Classifier):
     @F.pandas_udf("double")
-    def evidence(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds(texts))
+    def evidence(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series(model.log_odds(texts))
+        release_memory()
 
     return evidence
 
