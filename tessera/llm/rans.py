@@ -1,7 +1,7 @@
 """Range asymmetric numeral system with a static table, over interleaved blocks of token ids.
 
 A block holds up to BLOCK ids, dealt over LANES states that are coded side by side; blocks are
-independent, so any of them decodes by itself. All blocks of a corpus share one frequency table.
+independent, so any of them decodes by itself. All blocks of a file share one frequency table.
 Many blocks are coded at once, as the rows of one array.
 """
 
@@ -16,8 +16,8 @@ LANES = 64
 BLOCK = LANES * 512
 LOW = np.uint64(1 << 31)
 MASK32 = np.uint64(0xFFFFFFFF)
-#: Blocks that are coded together: bounds memory and keeps arrays long.
-TOGETHER = 48
+#: Blocks that are coded together: their states are one array, long enough to pay for each step.
+TOGETHER = 128
 
 
 class Table:
@@ -129,7 +129,7 @@ def _decode(payloads: list[bytes], count: int, table: Table) -> np.ndarray:
         x = table.freq[symbols] * (x >> np.uint64(SCALE)) + slot - table.start[symbols]
         under = x < LOW
         nth = np.cumsum(under, 1)
-        spot = np.where(under, cursor[:, None] + nth - 1, len(words) - 1)
-        state[:, :width] = np.where(under, (x << np.uint64(32)) | words[spot], x)
+        spot = np.minimum(cursor[:, None] + nth - 1, len(words) - 1)  # damaged blocks may run over
+        state[:, :width] = np.where(under, (x << np.uint64(32)) | words[np.maximum(spot, 0)], x)
         cursor = cursor + nth[:, -1]
     return out

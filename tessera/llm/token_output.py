@@ -1,13 +1,13 @@
 """Token-id output: texts become ids, ids become files of independent, checked rANS blocks.
 
-Two passes over the texts: one counts every id of the corpus (the shared frequency table), the
-other tokenizes the range-sorted documents again and writes one file for each sorted part. Ids are
-never shuffled.
-
-File: MAGIC | blocks | footer | footer length (u64) | MAGIC. A block is a payload of ``rans``. The
-footer is zlib-packed JSON of numbers: for each block (checkpoint) its offset, length, number of
-ids and crc32 of its ids as little-endian u32; for each document its row id, doc_id and number of
-ids; and the checksum of the table the file was coded with. Any run of blocks decodes by itself.
+The documents are range-sorted once, as texts; each sorted part is tokenized, counted and written
+by its task as one or more files, so ids are never shuffled and never kept outside a file.
+
+File: MAGIC | blocks | table | footer | footer length (u64) | MAGIC. A block is a payload of
+``rans``; all blocks of a file share its table, the zlib-packed frequencies of ids 0, 1, … as u32.
+The footer is zlib-packed JSON of numbers: offset and length of the table; for each block
+(checkpoint) its offset, length, number of ids and crc32 of its ids as little-endian u32; for each
+document its row id, doc_id and number of ids. Any run of blocks decodes by itself.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,141 +26,189 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import keyed, scratch_path, small_batches, table
+from .common import keyed, scratch_path, small_batches, table, trimmed
 from .files import open_file, write_file
 
-MAGIC = b"TSRANS01"
+MAGIC = b"TSRANS03"
 END_ID = 2
+#: Ids that a file holds, about: they are in a task's memory until the file's table is known.
+FILE_IDS = 1 << 22
 #: Ids that one reading task decodes at a time.
 READ_IDS = 1 << 21
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps: as many again that were kept before are still at hand.
+CACHE_WORDS = 250_000
+
+# How byte-level BPE cuts texts, and the letters it writes bytes as.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+
+def byte_letters() -> str:
+    """The letter of each byte: printable ones stand for themselves, others follow from U+0100."""
+    others = iter(range(256, 512))
+    return "".join(chr(b) if b in PRINTABLE else chr(next(others)) for b in range(256))
+
+
+#: White space that no fast path looks into: in ASCII texts, and in others.
+RARE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+RARE_ASCII = "".join(c for c in RARE_SPACE if c.isascii())
+
+
+class _Kept(dict):
+    """Ids of pieces, each encoded when it is first met.
+
+    Two generations: a full one makes room for the next but is asked before a piece is encoded
+    again, so frequent pieces stay.
+    """
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
 
 
 class WordCoder:
-    """Ids of whole texts, by a tokenizer whose words never span a space that follows a word.
+    """Ids of whole texts by byte-level BPE, as the tokenizer itself gives them.
 
-    Byte-level BPE cuts texts into words before it merges anything, and a single space between
-    two non-space characters always begins a word. So a text is split there, each distinct piece
-    is encoded once and kept; a text with other white space around a space is encoded whole.
+    Such a tokenizer cuts a text into words before it merges anything. A single space between two
+    characters that aren't white space always begins a word, and a single line feed there always
+    is one. So a text is split there, and the tokenizer's model sees each distinct piece once
+    while it is kept. Texts with any other white space, runs of it or some at an end, are encoded
+    whole.
     """
 
     def __init__(self, path: str) -> None:
+        import os
+
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
+        plain = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        self.fast = not self.tokenizer.normalizer and str(self.tokenizer.pre_tokenizer) == plain
+        self.merge, self.cut, self.letters = self.tokenizer.model.tokenize, regex.compile(WORDS).findall, byte_letters()
+        self.kept = _Kept(self.joined)
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        first, *rest = text.split(" ")
-        kept = self.kept
-        if not first or first[-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in rest):
-            return np.frombuffer(self.whole(text), np.uint32)
-        pieces = [first, *[" " + p for p in rest]] if rest else [first]
-        missing = [p for p in dict.fromkeys(pieces) if p not in kept]
-        if missing:
-            if len(kept) + len(missing) > CACHE_WORDS:
-                kept.clear()
-                missing = list(dict.fromkeys(pieces))
-            for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                kept[p] = np.array(e.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([kept[p] for p in pieces]), np.uint32)
-
-
-def _count_ids(tokenizer: str, vocabulary: int):
-    def run(batches):
-        coder, counts = WordCoder(tokenizer), np.zeros(vocabulary, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
-                ids = coder.encode(text)
-                if len(ids):
-                    counts += np.bincount(ids, minlength=vocabulary)
-                counts[END_ID] += 1
-        used = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": used, "n": counts[used]})
-
-    return run
-
+    def joined(self, piece: str) -> bytes:
+        """The ids of a piece after its space, or with the line feed that it begins with."""
+        return self.feed + self.piece(piece[1:]) if piece[0] == "\n" else self.piece(" " + piece)
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece; a mark behind letters is a word of its own."""
+        body = text[1:] if text[0] == " " else text
+        if body.isalpha():
+            if text.isascii():
+                return self.word(text.replace(" ", self.letters[32]))
+            return self.word(charmap_decode(text.encode(), "strict", self.letters)[0])
+        if body[-1] in ".,:;" and body[:-1].isalpha():
+            return (self.piece(text[:-1]) if body is text else self.kept[body[:-1]]) + self.word(body[-1])
+        if text.isascii():
+            return b"".join([self.word(charmap_decode(w.encode(), "strict", self.letters)[0]) for w in self.cut(text)])
+        return self.whole(text)
+
+    def word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids as native u32."""
+        odd = not self.fast or not text or text[0] in " \n" or text[-1] in " \n"
+        if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (RARE_ASCII if text.isascii() else RARE_SPACE)):
+            return self.whole(text)
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.piece(first) + b"".join(map(self.kept.__getitem__, rest))
+
+
+@lru_cache(1)
+def word_coder(path: str) -> WordCoder:
+    """One for a worker: what it keeps serves the worker's next tasks too."""
+    return WordCoder(path)
+
+
+def file_parts(docs: list[tuple], ids: list[bytes]) -> Iterator[bytes]:
+    """The pieces of a file of documents (row id, doc_id), their ids (native u32) each."""
+    everything = np.frombuffer(b"".join(ids), np.uint32)
+    counts = np.bincount(everything)
+    coding = rans.Table.of_counts(counts)
+    blocks, offset, done = [], len(MAGIC), 0
+    yield MAGIC
+    for n, payload in rans.encode_blocks(everything, coding):
+        blocks.append([offset, len(payload), n, zlib.crc32(everything[done : done + n].astype("<u4").tobytes())])
+        done += n
+        offset += len(payload)
+        yield payload
+    frequencies = zlib.compress(coding.freq.astype("<u4").tobytes(), 1)
+    yield frequencies
+    footer = {
+        "table": [offset, len(frequencies)], "blocks": blocks,
+        "rids": [d[0] for d in docs], "docs": [d[1] for d in docs], "ids": [len(x) // 4 for x in ids],
+    }
+    packed = zlib.compress(json.dumps(footer).encode(), 1)
+    yield packed
+    yield len(packed).to_bytes(8, "little") + MAGIC
+
+
+FILES = "path string, first_rid long, n_docs long, n_ids long, n_bytes long"
+
+
+def _write_files(tokenizer: str, folder: str, end_id: int, file_ids: int):
+    end = np.uint32(end_id).tobytes()
+
+    def written(docs: list[tuple], ids: list[bytes]) -> pd.DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}.rans"  # another attempt of this task writes another file
+        size = write_file(path, file_parts(docs, ids))
+        return pd.DataFrame({"path": [path], "first_rid": [docs[0][0]], "n_docs": [len(docs)], "n_ids": [sum(map(len, ids)) // 4], "n_bytes": [size]})
 
-def _write_files(tokenizer: str, folder: str, counts: np.ndarray, end_id: int):
     def run(batches):
-        coder, coding = WordCoder(tokenizer), rans.Table.of_counts(counts)
-        blocks, rids, ids_of, docs, held, size, offset = [], [], [], [], [], 0, len(MAGIC)
-        first = None
-
-        def parts() -> Iterator[bytes]:
-            nonlocal held, size, offset
-            yield MAGIC
-            for pdf in batches:
-                for rid, doc_id, text in pdf[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
-                    ids = np.append(coder.encode(text), np.uint32(end_id))
-                    rids.append(int(rid))
-                    docs.append(None if pd.isna(doc_id) else int(doc_id))
-                    ids_of.append(len(ids))
-                    held.append(ids)
-                    size += len(ids)
-                    if size >= rans.BLOCK * rans.TOGETHER:
-                        full = np.concatenate(held)
-                        cut = len(full) // rans.BLOCK * rans.BLOCK
-                        held, size = [full[cut:]], len(full) - cut
-                        yield from put(full[:cut])
-            if size:
-                yield from put(np.concatenate(held))
-            footer = zlib.compress(json.dumps({"blocks": blocks, "rids": rids, "docs": docs, "ids": ids_of, "table": coding.checksum()}).encode(), 1)
-            yield footer
-            yield len(footer).to_bytes(8, "little") + MAGIC
-
-        def put(ids: np.ndarray) -> Iterator[bytes]:
-            nonlocal offset
-            done = 0
-            for n, payload in rans.encode_blocks(ids, coding):
-                blocks.append([offset, len(payload), n, zlib.crc32(ids[done : done + n].astype("<u4").tobytes())])
-                done += n
-                offset += len(payload)
-                yield payload
-
-        import itertools
-
-        batches = iter(batches)
-        first = next((b for b in batches if len(b)), None)
-        if first is None:
-            return
-        batches = itertools.chain([first], batches)
-        name = f"{folder}/{uuid.uuid4().hex}.rans"  # another attempt of this task writes another file
-        written = write_file(name, parts())
-        yield pd.DataFrame({"path": [name], "first_rid": [min(rids)], "n_docs": [len(rids)], "n_ids": [sum(ids_of)], "n_bytes": [written]})
+        coder = word_coder(tokenizer)
+        docs, ids, held = [], [], 0
+        for pdf in batches:
+            for rid, doc_id, text in pdf[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
+                docs.append((int(rid), None if pd.isna(doc_id) else int(doc_id)))
+                ids.append(coder.encode(text) + end)
+                held += len(ids[-1]) // 4
+                if held >= file_ids:
+                    yield written(docs, ids)
+                    docs, ids, held = [], [], 0
+        if docs:
+            yield written(docs, ids)
+        coder.kept.before = {}  # a waiting worker keeps one generation
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, vocabulary: int = 1 << 16) -> tuple[DataFrame, np.ndarray]:
-    """Encode all texts and write the files; returns their list, in order, and the id counts.
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode all texts and write the files; returns their list.
 
-    The list (``path, first_rid, n_docs, n_ids, n_bytes, start``) has a row for each sorted part,
-    from tasks that ended well: what a lost or doubled attempt wrote isn't in it. The counts are
-    at most ``vocabulary`` numbers.
+    The list (``path, first_rid, n_docs, n_ids, n_bytes, start``) has a row for each file, in
+    order, from tasks that ended well: what a lost or doubled attempt wrote isn't in it. A file
+    has about ``file_ids`` ids, so the list is short against the texts.
 
     * null text: only the end id. null doc_id comes last; equal doc_ids in order of their texts.
     * empty table: no files. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = keyed(docs)
-    counted = rows.select("text").mapInPandas(_count_ids(tokenizer, vocabulary), "id int, n long")
-    counts = np.zeros(vocabulary, np.int64)
-    for row in counted.groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row["id"]] = row["n"]
-    files = rows.orderBy("rid").mapInPandas(
-        _write_files(tokenizer, folder, counts, end_id), "path string, first_rid long, n_docs long, n_ids long, n_bytes long"
-    ).collect()
+    files = keyed(docs).orderBy("rid").mapInPandas(trimmed(_write_files(tokenizer, folder, end_id, file_ids)), FILES).collect()
     start, listed = 0, []
     for f in sorted(files, key=lambda f: f["first_rid"]):
         listed.append((*f, start))
         start += f["n_ids"]
-    return spark.createDataFrame(listed, "path string, first_rid long, n_docs long, n_ids long, n_bytes long, start long"), counts
+    return spark.createDataFrame(listed, f"{FILES}, start long")
 
 
 def read_footer(f) -> dict:
@@ -171,10 +222,14 @@ def read_footer(f) -> dict:
     return json.loads(zlib.decompress(f.read(length)))
 
 
+def file_table(f, footer: dict) -> rans.Table:
+    offset, length = footer["table"]
+    f.seek(offset)
+    return rans.Table(np.frombuffer(zlib.decompress(f.read(length)), "<u4"))
+
+
 def decode_range(f, footer: dict, coding: rans.Table, lo: int, hi: int) -> np.ndarray:
     """The ids [lo, hi) of a file: only the blocks that hold them are read, decoded and checked."""
-    if footer["table"] != coding.checksum():
-        raise ValueError("the file was coded with another table")
     ends = np.cumsum([b[2] for b in footer["blocks"]])
     a, b = int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends, hi, "left")) + 1
     chosen = footer["blocks"][a:b]
@@ -190,44 +245,38 @@ def decode_range(f, footer: dict, coding: rans.Table, lo: int, hi: int) -> np.nd
     return np.concatenate(ids)[lo - base : hi - base] if ids else np.zeros(0, np.uint32)
 
 
-def _read_files(counts: np.ndarray):
-    def run(batches):
-        coding = rans.Table.of_counts(counts)
-        for pdf in batches:
-            for path, start, lo_doc, hi_doc in pdf[["path", "start", "lo_doc", "hi_doc"]].itertuples(index=False, name=None):
-                with open_file(path) as f:
-                    footer = read_footer(f)
-                    sizes = np.array(footer["ids"], np.int64)
-                    ends = np.cumsum(sizes)
-                    d, hi_doc = int(lo_doc), min(int(hi_doc), len(sizes))
-                    while d < hi_doc:  # whole documents, about READ_IDS ids at a time
-                        base = int(ends[d] - sizes[d])
-                        e = max(d + 1, min(hi_doc, int(np.searchsorted(ends, base + READ_IDS, "right"))))
-                        ids = decode_range(f, footer, coding, base, int(ends[e - 1])).astype("<u4")
-                        cuts = ends[d:e] - sizes[d:e] - base
-                        yield pd.DataFrame(
-                            {
-                                "doc_id": pd.array(footer["docs"][d:e], "Int64"),
-                                "start": int(start) + base + cuts,
-                                "n_tokens": sizes[d:e],
-                                "ids": [ids[a : a + n].tobytes() for a, n in zip(cuts, sizes[d:e])],
-                            }
-                        )
-                        d = e
-
-    return run
-
-
-def read_tokens(files: DataFrame, counts: np.ndarray, docs_a_task: int = 4096) -> DataFrame:
+def _read_files(batches, digest: bool):
+    for pdf in batches:
+        for path, start, lo_doc, hi_doc in pdf[["path", "start", "lo_doc", "hi_doc"]].itertuples(index=False, name=None):
+            with open_file(path) as f:
+                footer = read_footer(f)
+                coding = file_table(f, footer)
+                sizes = np.array(footer["ids"], np.int64)
+                ends = np.cumsum(sizes)
+                d, hi_doc = int(lo_doc), min(int(hi_doc), len(sizes))
+                while d < hi_doc:  # whole documents, about READ_IDS ids at a time
+                    base = int(ends[d] - sizes[d])
+                    e = max(d + 1, min(hi_doc, int(np.searchsorted(ends, base + READ_IDS, "right"))))
+                    ids = decode_range(f, footer, coding, base, int(ends[e - 1])).astype("<u4")
+                    cuts = ends[d:e] - sizes[d:e] - base
+                    out = {"doc_id": pd.array(footer["docs"][d:e], "Int64"), "start": int(start) + base + cuts, "n_tokens": sizes[d:e]}
+                    own = [ids[a : a + n] for a, n in zip(cuts, sizes[d:e])]
+                    out |= {"ids_crc32": [zlib.crc32(x) for x in own]} if digest else {"ids": [x.tobytes() for x in own]}
+                    yield pd.DataFrame(out)
+                    d = e
+
+
+def read_tokens(files: DataFrame, docs_a_task: int = 8192, digest: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids``: from the files, a run of documents to each task.
 
-    ``ids`` are little-endian u32. Tasks open files by footer and checkpoints; no task needs
+    ``ids`` are little-endian u32; with ``digest`` their crc32 comes in their place, ``ids_crc32``. Tasks open files by footer and checkpoints; no task needs
     another's state, and a failed one is simply run again.
     """
     spans = files.withColumn("lo_doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(docs_a_task).cast("long"))))
     spans = spans.withColumn("hi_doc", F.col("lo_doc") + docs_a_task).select("path", "start", "lo_doc", "hi_doc")
     parts = max(1, spans.count())
-    return spans.repartition(parts).mapInPandas(_read_files(counts), "doc_id long, start long, n_tokens long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
+    return spans.repartition(parts).mapInPandas(trimmed(lambda b: _read_files(b, digest)), schema)
 
 
 def default_tokenizer() -> str:
@@ -239,8 +288,8 @@ def default_tokenizer() -> str:
 def tokenized(docs: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the ids of ``docs`` and read them back: ``doc_id, start, n_tokens, ids_crc32``."""
     spark: SparkSession = docs.sparkSession
-    files, counts = write_tokens(docs, folder or scratch_path(spark, "tokens"), tokenizer or default_tokenizer())
-    return read_tokens(files, counts).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files = write_tokens(docs, folder or scratch_path(spark, "tokens"), tokenizer or default_tokenizer())
+    return read_tokens(files, digest=True)
 
 
 def op10_token_output(spark, sf_dir: str) -> DataFrame:
