@@ -53,14 +53,10 @@ def term_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM_PATTERN), F.lit(0))
 
 
-def unigrams_and_bigrams(c: Column) -> Column:
-    """The text's terms and the pairs of neighbours among them, repeats kept."""
-    words = term_tokens(c)
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda x, y: F.concat(x, F.lit(" "), y),
-    )
-    return F.concat(words, pairs)
+def with_bigrams(words: Column) -> Column:
+    """An array of words and the pairs of neighbours among them, repeats kept."""
+    pairs = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), pairs), F.slice(words, F.lit(2), pairs), lambda x, y: F.concat(x, F.lit(" "), y)))
 
 
 def path_segments(path: Column) -> Column:

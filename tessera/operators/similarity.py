@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, normalize_text, tokenize, unigrams_and_bigrams
+from tessera.functions.text import jaccard, normalize_text, term_tokens, tokenize, with_bigrams
 
 MIN_DF, MAX_DF = 3, 0.9
 
@@ -19,13 +19,13 @@ def add_pair_texts(pairs: DataFrame, query: str, item: str) -> DataFrame:
 def pair_terms(pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
     """``row_id, term, tf_q, tf_i``: counts of each unigram and bigram in a pair's two texts.
 
-    Both sides share a row, so a pair's dot product never leaves its own key.
+    Both sides share a row, so a pair's dot product never leaves its own key. The words of each
+    text are cut once, in a projection of their own, and one scan yields both sides' terms.
     """
-    sides = [pairs.select(F.col(row_id).alias("row_id"), F.lit(s).alias("side"), F.explode(unigrams_and_bigrams(F.col(c))).alias("term")) for s, c in ((0, "q_norm"), (1, "i_norm"))]
-    return (
-        sides[0].unionAll(sides[1]).groupBy("row_id", "term")
-        .agg(F.count_if(F.col("side") == 0).alias("tf_q"), F.count_if(F.col("side") == 1).alias("tf_i"))
-    )
+    words = pairs.select(F.col(row_id).alias("row_id"), term_tokens(F.col("q_norm")).alias("q"), term_tokens(F.col("i_norm")).alias("i"))
+    grams = words.select("row_id", with_bigrams(F.col("q")).alias("q"), with_bigrams(F.col("i")).alias("i"))
+    terms = grams.select("row_id", F.size("q").alias("n_q"), F.posexplode(F.concat("q", "i")).alias("at", "term"))
+    return terms.groupBy("row_id", "term").agg(F.count_if(F.col("at") < F.col("n_q")).alias("tf_q"), F.count_if(F.col("at") >= F.col("n_q")).alias("tf_i"))
 
 
 def corpus_size(pairs: DataFrame) -> DataFrame:
