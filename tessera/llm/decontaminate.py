@@ -5,8 +5,9 @@ the item's score against itself, so that 1 means "all of the item". Passages ove
 are twice as long as the longest item, so a leaked item lies whole within one. A passage first
 meets the bounds of item blocks (its terms' largest impacts in the block, all blocks and passages
 of a document at once), and where a block's bound reaches the threshold, block-max WAND runs over
-the postings. What it retrieves is verified exactly: the overlap of the item's question and answer
-n-grams with the document.
+the postings. A document that holds the question without the answer scores too little for that, so
+the questions' n-grams are looked up in the whole document besides. What either way retrieves is
+verified exactly: the overlap of the item's question and answer n-grams with the document.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table, trimmed
+from .rolling import mix
 
 K1, B = 1.2, 0.75
-RETRIEVE = 0.6  # of the item's score against itself
+RETRIEVE = 0.6  # of the item's score against itself; binds only questions of under GRAM words
 OVERLAP = 0.8
 GRAM = 5
 PASSAGE = 128
@@ -52,6 +54,16 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def gram_codes(numbers: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the distinct runs of GRAM numbers."""
+    if len(numbers) < GRAM:
+        return np.zeros(0, np.uint64)
+    codes = np.zeros(len(numbers) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        codes = mix(codes ^ numbers[i : i + len(codes)].astype(np.uint64)) + np.uint64(i)
+    return np.unique(codes)
+
+
 @dataclass
 class Posting:
     items: np.ndarray  # rising item numbers
@@ -96,14 +108,23 @@ class Index:
             np.maximum.at(tops, nos // self.block_items, share)
             self.postings.append(Posting(nos, share, float(share.max()), tops))
             self.bounds[i] = tops
+        codes = [gram_codes(self.numbers(q)) for q, _ in self.parts]
+        self.gram_counts = np.array([len(c) for c in codes], np.int64)
+        every, owner = np.concatenate([*codes, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(kept)), self.gram_counts)
+        order = np.argsort(every, kind="stable")
+        self.gram_codes, self.gram_items = every[order], owner[order]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' term numbers; words of no item have the number after the last."""
+        none = len(self.terms)
+        return np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
 
-    def passages(self, words: list[str], size: int = PASSAGE) -> np.ndarray:
+    def passages(self, ids: np.ndarray, size: int = PASSAGE) -> np.ndarray:
         """Term numbers of overlapping passages, a row each, every term once; the rest is no term."""
         none = len(self.terms)
         size = max(size, 2 * self.longest)
         step = size // 2
-        ids = np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
-        count = max(1, -(-(len(words) - size) // step) + 1) if len(words) > size else 1
+        count = max(1, -(-(len(ids) - size) // step) + 1) if len(ids) > size else 1
         padded = np.full((count - 1) * step + size, none)
         padded[: len(ids)] = ids
         rows = np.sort(np.lib.stride_tricks.sliding_window_view(padded, size)[::step], axis=1)
@@ -159,18 +180,41 @@ class Index:
             cursors = alive
         return found
 
+    def asked(self, ids: np.ndarray, overlap: float) -> list[int]:
+        """Items whose question has ``overlap`` of its n-grams anywhere in the text, GRAM words or more."""
+        codes = gram_codes(ids)
+        lo = np.searchsorted(self.gram_codes, codes)
+        hits = self.gram_codes[np.minimum(lo, len(self.gram_codes) - 1)] == codes if len(self.gram_codes) else np.zeros(len(codes), bool)
+        if not hits.any():
+            return []
+        hi = np.searchsorted(self.gram_codes, codes[hits], "right")
+        found = np.bincount(np.concatenate([self.gram_items[a:b] for a, b in zip(lo[hits], hi)]), minlength=len(self.ids))
+        return np.flatnonzero((found > 0) & (found >= overlap * self.gram_counts - 1e-9)).tolist()
+
+    def score(self, n: int, rows: np.ndarray) -> float:
+        """An item's score for the best of the passages."""
+        weights = np.zeros(len(self.terms) + 1)
+        for t in {self.terms[w] for part in self.parts[n] for w in part}:
+            p = self.postings[t]
+            weights[t] = p.impacts[np.searchsorted(p.items, n)]
+        return float(weights[rows].sum(1).max())
+
     def matches(self, text: str | None, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> list[tuple]:
         """(item id, score, question overlap, answer overlap) of each item that the text leaks."""
         words = words_of(text)
         if not words or not self.ids:
             return []
-        rows = self.passages(words)
+        ids = self.numbers(words)
+        rows = self.passages(ids)
         best: dict[int, float] = {}
         none = len(self.terms)
         for r in np.flatnonzero(self.hopeful(rows, retrieve)):
             terms = rows[r]
             for n, score in self.wand(terms[terms != none].tolist(), retrieve).items():
                 best[n] = max(score, best.get(n, 0.0))
+        for n in self.asked(ids, overlap):
+            if n not in best:
+                best[n] = self.score(n, rows)
         out = []
         have: dict[int, set] = {}
         for n in sorted(best):
@@ -197,10 +241,11 @@ def indexes(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> list[Index]
 def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: a row for each leaked item.
 
-    An item is leaked by a document if one of its passages scores ``retrieve`` of what the item
-    scores against itself, and ``overlap`` of the question's word 5-grams are in the document
-    (shorter questions: the whole of them). The answer's share is reported (1 without an answer).
-    No shuffle: tasks hold a bounded index and stream the documents.
+    An item is leaked by a document if ``overlap`` of the question's word 5-grams are in the
+    document, with or without the answer. A question of under 5 words says little by itself: the
+    whole of it must be there, and a passage that scores ``retrieve`` of what the item scores
+    against itself. ``score`` is the best passage's; the answer's share is reported (1 without an
+    answer). No shuffle: tasks hold a bounded index and stream the documents.
 
     * null or empty texts, on either side, match nothing; a null doc_id or item_id is kept;
       repeated documents give their rows each, repeated items too. Empty tables: no rows. Other

@@ -130,6 +130,31 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(documents(spark, []), items(spark, bench)).count() == 0
 
 
+def test_question_only_leaks(spark):
+    """Questions without their answers, whole, with a word edited, or in two far places."""
+    bench = [(b["item_id"], b["text"]) for b in spark.read.parquet(f"{tables_dir('sf0.1')}/benchmark.parquet").collect()]
+    questions = {i: decontaminate.question_and_answer(t)[0] for i, t in bench}
+    questions = {i: q for i, q in questions.items() if len(q) >= decontaminate.GRAM}
+    docs, fill = [], [f"zz{i}" for i in range(400)]
+    for q in questions.values():
+        k = len(q) // 2
+        for words in (q, [*q[:k], "edited", *q[k + 1 :]], [*q[: k + 2], *fill, *q[k - 2 :]]):
+            docs.append((len(docs), " ".join([*fill[:30], *words, *fill[:50]])))
+    want = {}
+    for d, t in docs:
+        have = decontaminate.grams(decontaminate.words_of(t))
+        for i, q in questions.items():
+            own = decontaminate.grams(q)
+            if len(own & have) / len(own) >= 0.8:
+                want[d, i] = len(own & have) / len(own)
+    got = decontaminate.find_leaks(documents(spark, docs), items(spark, bench)).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["question_overlap"], r["score"]) for r in got if r["item_id"] in questions}
+    assert {k: v for k, (v, _) in got.items()} == want
+    assert len(want) > 2 * len(questions) and min(s for _, s in got.values()) < decontaminate.RETRIEVE
+    left = decontaminate.drop_leaks(documents(spark, docs), items(spark, bench))
+    assert {d for d, _ in docs} - {r["doc_id"] for r in left.collect()} >= {d for d, _ in want}
+
+
 def test_wand_is_exact():
     """Block-max WAND finds what scoring every item finds, and bounds are bounds."""
     rng = random.Random(5)
