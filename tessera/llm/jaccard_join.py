@@ -42,9 +42,10 @@ def survival(threshold: float, depth: int) -> float:
     """Least chance that a pair at the threshold shares a path of ``depth`` tokens.
 
     Children shared by x and y are about Poisson with mean |x and y| / (t max(|x|, |y|)), which is
-    least where the sets are equally large: 2 / (1 + t).
+    least where one set contains the other: 1, as no set is larger than both together. Equally
+    large sets have 2 / (1 + t).
     """
-    mean = 2 / (1 + threshold)
+    mean = 1.0
     dead = 0.0
     for _ in range(depth):
         dead = math.exp(mean * (dead - 1))

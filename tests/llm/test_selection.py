@@ -78,6 +78,19 @@ def test_recall_of_paths():
     assert met >= 297
 
 
+def test_recall_of_contained_pairs():
+    """A set within another, at exactly the threshold, is found as often as promised."""
+    rng = np.random.default_rng(1)
+    runs, trials = jaccard_join.runs_for(), 6000
+    met = 0
+    for _ in range(trials):
+        tokens = rng.integers(0, 2**63, 250, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        a, b = np.sort(tokens), np.sort(tokens[:200])
+        met += bool(set(jaccard_join.leaves(a, 0.8, 4, runs)) & set(jaccard_join.leaves(b, 0.8, 4, runs)))
+    # Six misses are expected; 15 would be four standard deviations beyond.
+    assert runs == 19 and trials - met <= 15
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     rng = random.Random(seed)
