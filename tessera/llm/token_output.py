@@ -82,8 +82,8 @@ class WordCoder:
     Such a tokenizer cuts a text into words before it merges anything. A single space between two
     characters that aren't white space always begins a word, and a single line feed there always
     is one. So a text is split there, and the tokenizer's model sees each distinct piece once
-    while it is kept. Texts with any other white space, runs of it or some at an end, are encoded
-    whole.
+    while it is kept. Texts with any other white space, runs of it or some at an end, or with the
+    string of an added token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -94,7 +94,8 @@ class WordCoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: A text that holds one of these is cut there first, at the tokenizer's own rules.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         plain = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.fast = not self.tokenizer.normalizer and str(self.tokenizer.pre_tokenizer) == plain
         self.merge, self.cut, self.letters = self.tokenizer.model.tokenize, regex.compile(WORDS).findall, byte_letters()
@@ -126,7 +127,7 @@ class WordCoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as native u32."""
-        odd = not self.fast or not text or text[0] in " \n" or text[-1] in " \n"
+        odd = not self.fast or not text or text[0] in " \n" or text[-1] in " \n" or any(t in text for t in self.added)
         if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (RARE_ASCII if text.isascii() else RARE_SPACE)):
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")

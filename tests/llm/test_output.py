@@ -41,6 +41,23 @@ def test_word_coder():
         assert coder.encode(t) == coder.whole(t)
 
 
+def test_added_tokens(spark):
+    """The ids are the library's own, also where a text holds an added token's string."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_output.default_tokenizer())
+    rows = list(enumerate(["a b <|endoftext|> c", "<|endoftext|>", "a<|endoftext|>b c\nd", "é <|endoftext|><|endoftext|> é", "<|endoftext |> a", "a b c"]))
+    want, start = [], 0
+    coder = token_output.WordCoder(token_output.default_tokenizer())
+    for i, t in rows:
+        own = plain.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode(t), np.uint32).tolist() == own
+        want.append((i, start, len(own) + 1, zlib.crc32(np.array([*own, 2], "<u4").tobytes())))
+        start += len(own) + 1
+    assert 50256 in plain.encode(rows[0][1], add_special_tokens=False).ids
+    assert sorted(tuple(r) for r in token_output.tokenized(documents(spark, rows)).collect()) == want
+
+
 @pytest.mark.parametrize("rows", [list(enumerate(texts(6))), ODD, []], ids=["random", "odd", "empty"])
 def test_tokens(spark, rows):
     got = [tuple(r) for r in token_output.tokenized(documents(spark, rows)).collect()]
