@@ -40,13 +40,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _last_labels(host: Column, suffixes: tuple, more: int) -> Column:
+    """The host's suffix and ``more`` labels before it, by the longest that fits."""
+    out = F.substring_index(host, ".", -1 - more)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        fits = F.substring_index(host, ".", -k).isin([s for s in suffixes if s.count(".") + 1 == k])
+        out = F.when(fits, F.substring_index(host, ".", -k - more)).otherwise(out)
+    return out
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain under one-label suffixes."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, suffixes: tuple = ()) -> Column:
+    """The longest of ``suffixes`` that the host ends with, else its last label."""
+    return _last_labels(host, suffixes, 0)
+
+
+def domain_of(host: Column, suffixes: tuple = ()) -> Column:
+    """The registered domain: the suffix and one label before it."""
+    return _last_labels(host, suffixes, 1)
 
 
 def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -79,7 +89,7 @@ def _level(groups: DataFrame, key: str, parents: DataFrame, parent_key: str | No
     return joined.crossJoin(F.broadcast(weight)).withColumn("mean", (F.col("good") + F.col("w") * F.col("parent")) / (F.col("n") + F.col("w")))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: tuple = ()) -> DataFrame:
     """``host, n, good, mean, upper`` from ``outcomes(host, good 0/1 or null)``.
 
     Hosts without labels get their domain's mean with the prior's own width. One-row tables (the
@@ -87,7 +97,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """
     hosts = (
         outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
-        .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+        .withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -99,11 +109,12 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return h.select("host", "n", "good", "mean", (F.col("mean") + z * sd).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, floor: float = FLOOR, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, floor: float = FLOOR, z: float = Z, suffixes: tuple = ()) -> DataFrame:
     """``page_id, host, path, rule, verdict, n, mean, upper`` for each row of ``pages(page_id, url)``.
 
     ``labels(doc_id, quality, toxic)`` are outcomes: good is quality 1 and not toxic; a label with
-    a null quality or page_id counts for nothing, repeated labels count each time.
+    a null quality or page_id counts for nothing, repeated labels count each time. ``suffixes`` are
+    those of several labels ("co.uk"), lower-case; under any other a host's suffix is its last label.
 
     * null url or one without ``://``: empty host and path; such pages share the empty host.
     * null page_id: kept, unlabelled. Empty pages: no rows. No labels: everything is allowed.
@@ -117,7 +128,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, floor: float =
     ).where("good is not null")
     # Counts come from unique page rows' hosts: a label of a repeated page counts for each row.
     outcomes = judged.select("page_id", "host").join(marks, "page_id", "left").select("host", "good")
-    reputation = host_reputation(outcomes, z)
+    reputation = host_reputation(outcomes, z, suffixes)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("upper") < floor, "block").otherwise("allow")
     return judged.join(reputation, "host", "left").select(

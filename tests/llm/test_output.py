@@ -251,3 +251,15 @@ def test_reputation(spark):
     assert judge(spark, [], labels) == {}
     twice = judge(spark, urls[:2], labels[:2] * 3)
     assert len(twice) == 2
+
+
+def test_long_suffixes(spark):
+    urls = [f"http://h{i % 4}.bad.co.uk/{i}" for i in range(80)] + [f"http://h{i % 4}.good.co.uk/{i}" for i in range(80)] + ["http://new.bad.co.uk/", "http://new.good.co.uk/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(i >= 80), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    mean = lambda **k: {r["page_id"]: r["mean"] for r in url_filter.filter_urls(pages, marks, **k).where("page_id >= 160").collect()}
+    alike, apart = mean(), mean(suffixes=("co.uk", "com.au"))
+    assert alike[160] == alike[161] and apart[160] < 0.3 and apart[161] > 0.7
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("uk",), ("a.xco.uk",), ("a.b.com",), ("",)], "host string")
+    got = [tuple(r) for r in hosts.select(url_filter.domain_of(F.col("host"), ("co.uk",)), url_filter.suffix_of(F.col("host"), ("co.uk",))).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("uk", "uk"), ("xco.uk", "uk"), ("b.com", "com"), ("", "")]
