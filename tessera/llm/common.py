@@ -42,6 +42,11 @@ def trimmed(run):
     return wrapped
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, by which buckets are sized."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -73,7 +73,11 @@ def gram_hashes(codes: np.ndarray, k: int, prefix: np.ndarray | None = None) ->
 
 
 def word_codes(data: bytes) -> np.ndarray:
-    """A 64-bit code for each word (run without ASCII white space) of the bytes, in order."""
+    """A 64-bit code for each word (run without ASCII white space) of the bytes, in order.
+
+    The sum of a mixed value for each (byte, place in the word), mixed with the length: no
+    polynomial in a fixed base, so words of a special build don't share a code.
+    """
     if not data:
         return np.zeros(0, U64)
     a = np.frombuffer(data, np.uint8)
@@ -82,9 +86,12 @@ def word_codes(data: bytes) -> np.ndarray:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return np.zeros(0, U64)
-    prefix = prefix_hash(BYTE_CODES[a])
-    _, down = POWERS.upto(len(a))
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(BASE))
+    length = end - start
+    letters = a[~space]
+    first = np.cumsum(length) - length  # of each word among the letters
+    place = np.arange(len(letters)) - np.repeat(first, length)
+    values = mix((place.astype(U64) << U64(8)) + letters + U64(BASE))
+    return mix(np.add.reduceat(values, first) + length.astype(U64) * U64(BASE))
 
 
 def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -161,9 +168,8 @@ def to_documents(pdf: pd.DataFrame, payloads: int) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def by_document(packed: DataFrame, reduce, payloads: int = 1) -> DataFrame:
-    """Reduce each bucket of PACKED rows to facts, and bring them to ``rid, a[, b]``."""
-    found = packed.groupBy("bucket").applyInPandas(reduce, FACTS)
+def by_document(found: DataFrame, payloads: int = 1) -> DataFrame:
+    """The facts as ``rid, a[, b]``, a row for each row id that has any."""
     schema = "rid long, " + ", ".join(f"{c} binary" for c in "ab"[:payloads])
     return found.groupBy("grp").applyInPandas(lambda p: to_documents(p, payloads), schema)
 
@@ -201,38 +207,83 @@ def frame(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=COLUMNS)
 
 
-def repeated_anchor_rows(entries: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> pd.DataFrame:
-    """Map side of the anchor count: anchors (hash, rid, position) of one chunk.
+class Sent:
+    """What a task has told other tasks about keys that it holds often, so that it is told once.
+
+    The counts of what is held back go out at the task's end. Bounded: beyond LIMIT keys, more are
+    simply told again.
+    """
+
+    LIMIT = 1 << 17
+
+    def __init__(self) -> None:
+        self.counts: dict[int, int] = {}
+
+    def held_back(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Which entries need not go: keys seen often here, whose entry went before."""
+        out = np.zeros(len(h), bool)
+        often = np.flatnonzero(count > 1)
+        for i, x, n in zip(often.tolist(), h[often].tolist(), count[often].tolist()):
+            if x in self.counts:
+                self.counts[x] += n
+                out[i] = True
+            elif len(self.counts) < self.LIMIT:
+                self.counts[x] = 0
+        return out
+
+    def rest(self, buckets: int) -> Iterator[tuple]:
+        """Entries without a place (count 2 or more): what was held back."""
+        left = [(x, n) for x, n in self.counts.items() if n > 1]
+        h, n = np.array([x for x, _ in left], U64), np.array([n for _, n in left], np.uint32)
+        return by_bucket(h, [np.full(len(h), -1, np.int64), np.zeros(len(h), np.uint32), n], buckets)
+
+
+def repeated_rows(entries: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int, sent: Sent) -> pd.DataFrame:
+    """Map side of a count of hashes: (hash, rid, position) of one chunk.
 
     A hash seen twice here is known to repeat: all its places become facts, and only one entry
-    (marked 2) goes on, for the other tasks that hold it.
+    (its count above 1) goes on, for the other tasks that hold it.
     """
     h, rid, pos = entries
     order = np.argsort(h, kind="stable")
     h, rid, pos = h[order], rid[order], pos[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    many = ~first
-    many[:-1] |= ~first[1:]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(h)))
+    many = np.repeat(count > 1, count)
     rows = list(facts(rid[many], [pos[many]], buckets))
-    rows += by_bucket(h[first], [rid[first], pos[first].astype(np.uint32), many[first].astype(np.uint8)], buckets)
+    new = ~sent.held_back(h[first], count)
+    first, count = first[new], count[new]
+    rows += by_bucket(h[first], [rid[first], pos[first].astype(np.uint32), count.astype(np.uint32)], buckets)
     return frame(rows)
 
 
-def count_anchors(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Reduce side: facts pass; entries whose hash another task holds too become facts."""
+#: The group of the rows that name frequent hashes: they are no document's facts.
+FREQUENT = -1
+
+
+def count_repeated(pdf: pd.DataFrame, buckets: int, frequent: int) -> pd.DataFrame:
+    """Reduce side: facts pass; entries whose hash another task holds too become facts.
+
+    Hashes with over ``frequent`` places are named in rows of the group FREQUENT.
+    """
     known = pdf[pdf["kind"] == 1]
     rows = list(known.itertuples(index=False, name=None))
     part = pdf[pdf["kind"] == 0]
     if len(part):
-        h, rid, pos, many = (
-            np.frombuffer(b"".join(part[c]), t) for c, t in zip("abcd", (np.uint64, np.int64, np.uint32, np.uint8))
+        h, rid, pos, count = (
+            np.frombuffer(b"".join(part[c]), t) for c, t in zip("abcd", (np.uint64, np.int64, np.uint32, np.uint32))
         )
         order = np.argsort(h, kind="stable")
-        h, rid, pos, many = h[order], rid[order], pos[order], many[order]
+        h, rid, pos, count = h[order], rid[order], pos[order], count[order]
         same = h[1:] == h[:-1]
         twice = np.zeros(len(h), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        new = twice & (many == 0)
+        new = twice & (count == 1)
         rows += facts(rid[new], [pos[new]], buckets)
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        total = np.add.reduceat(count.astype(np.int64), first)
+        often = h[first][total > frequent]
+        if len(often):
+            rows.append((FREQUENT, 1, often.tobytes(), None, None, None))
     return only_facts(rows)

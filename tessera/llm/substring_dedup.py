@@ -1,9 +1,9 @@
 """Substring removal by Rabin-Karp hashes of every fixed-length token window.
 
-Every window of ``window`` words is hashed; windows whose anchor (see ``rolling``) occurs once in
-the corpus are unique and stay in their task; all others are counted in Spark by their 96-bit
-hash, and each occurrence but the earliest marks its words. Marked windows merge into maximal
-removal intervals.
+Every window of ``window`` words is hashed and the hashes are counted in Spark, in the two steps
+of ``repeats``: by the anchor, then whole. Windows of equal hash are confirmed by their words; each
+occurrence but the earliest marks its words, and marked windows merge into maximal removal
+intervals.
 """
 
 from __future__ import annotations
@@ -16,118 +16,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, partitions, small_batches
+from .common import keyed, text_bytes
+from .repeats import later_windows, removed
 
 GRAM = 8
 
 
-def _anchor_map(window: int, gram: int, buckets: int):
-    w = window - gram + 1
+class Words:
+    """Windows of words."""
 
-    def run(batches):
-        for rows in R.chunks(batches, "text"):
-            hs, rids, poss = [], [], []
-            for rid, text in rows:
-                grams = R.gram_hashes(R.word_codes(text.encode()), gram)
-                at = R.anchors(grams, w)
-                if len(at):
-                    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                    hs.append(grams[at])
-                    rids.append(np.full(len(at), rid, np.int64))
-                    poss.append(at)
-            if hs:
-                yield R.repeated_anchor_rows((np.concatenate(hs), np.concatenate(rids), np.concatenate(poss)), buckets)
-
-    return run
+    def __init__(self, window: int, gram: int = GRAM) -> None:
+        self.window, self.gram = window, gram
 
+    def split(self, data: bytes) -> list[bytes]:
+        return data.split()
 
-def _window_map(window: int, gram: int, buckets: int):
-    w = window - gram + 1
+    def join(self, units: list[bytes]) -> bytes:
+        return b" ".join(units)
 
-    def run(batches):
-        for rows in R.chunks(batches, "text"):
-            h1, h2, rids, poss = [], [], [], []
-            for rid, _, text, seen in rows:
-                codes = R.word_codes(text.encode())
-                at = R.anchors(R.gram_hashes(codes, gram), w)
-                repeated = np.unique(np.frombuffer(seen, np.uint32)).astype(np.int64)
-                pos = np.flatnonzero(np.isin(at, repeated))
-                if len(pos):
-                    h1.append(R.gram_hashes(codes, window)[pos])
-                    other = R.gram_hashes(R.mix(codes ^ R.U64(R.BASE)), window)[pos]
-                    h2.append((other >> R.U64(32)).astype(np.uint32))
-                    rids.append(np.full(len(pos), rid, np.int64))
-                    poss.append(pos.astype(np.uint32))
-            if not h1:
-                continue
-            h1, h2, rid, pos = (np.concatenate(x) for x in (h1, h2, rids, poss))
-            order = np.lexsort((pos, rid, h2, h1))
-            h1, h2, rid, pos = h1[order], h2[order], rid[order], pos[order]
-            first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            out = list(R.facts(rid[~first], [pos[~first]], buckets))  # an earlier one is in this very chunk
-            out += R.by_bucket(h1[first], [h2[first], rid[first], pos[first]], buckets)
-            yield R.frame(out)
-
-    return run
+    def codes(self, units: list[bytes]) -> np.ndarray:
+        return R.word_codes(b" ".join(units))
 
+    def numbers(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words are numbered as they come, so different words never share a number."""
+        known: dict[bytes, int] = {}
+        words = b" ".join(blobs).split(b" ")
+        numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
+        return numbers, R.mix(numbers + R.U64(1))
 
-def _later_windows(pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    rows = list(pdf[pdf["kind"] == 1].itertuples(index=False, name=None))
-    part = pdf[pdf["kind"] == 0]
-    if len(part):
-        h1, h2, rid, pos = (
-            np.frombuffer(b"".join(part[c]), t) for c, t in zip("abcd", (np.uint64, np.uint32, np.int64, np.uint32))
-        )
-        order = np.lexsort((pos, rid, h2, h1))
-        h1, h2, rid, pos = h1[order], h2[order], rid[order], pos[order]
-        later = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])])
-        rows += R.facts(rid[later], [pos[later]], buckets)
-    return R.only_facts(rows)
+    def same(self, numbers: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Windows in order of their hashes; neighbours are equal if all of their words are."""
+        order = np.argsort(hashes, kind="stable")
+        at, h = starts[order], hashes[order]
+        equal = h[1:] == h[:-1]
+        for i in range(self.window):
+            equal &= numbers[at[1:] + i] == numbers[at[:-1] + i]
+        group = np.cumsum(np.concatenate([[True], ~equal]))
+        if (~equal & (h[1:] == h[:-1])).any():  # one hash, different words: name windows by their words
+            names: dict[bytes, int] = {}
+            group = np.array([names.setdefault(numbers[a : a + self.window].tobytes(), len(names)) for a in at])
+        out = np.empty(len(order), np.int64)
+        out[order] = group
+        return out
 
 
 def _cut(window: int):
     def run(batches):
         for pdf in batches:
             out = []
-            for doc_id, text, seen in pdf[["doc_id", "text", "seen"]].itertuples(index=False, name=None):
+            for doc_id, text, starts, counts in pdf[["doc_id", "text", "starts", "counts"]].itertuples(index=False, name=None):
                 words = text.encode().split()
-                kept, spans = words, np.zeros((0, 2), np.int64)
-                if seen is not None and len(seen):
-                    starts = np.unique(np.frombuffer(seen, np.uint32)).astype(np.int64)
-                    mask = R.coverage(len(words), starts, np.full(len(starts), window))
-                    spans = R.runs(np.flatnonzero(mask))
-                    kept = list(compress(words, ~mask))
-                out.append((doc_id, len(words), len(words) - len(kept), spans.tolist(), b" ".join(kept).decode()))
+                mask = removed(len(words), starts, counts, window)
+                kept = list(compress(words, ~mask)) if mask.any() else words
+                spans = R.runs(np.flatnonzero(mask)).tolist()
+                out.append((doc_id, len(words), len(words) - len(kept), spans, b" ".join(kept).decode()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = 20, gram: int = GRAM, **limits) -> DataFrame:
     """``doc_id, n_words, n_removed, spans, kept_text``: one row for each row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it has the words of a window that
     starts earlier: in a smaller doc_id, or earlier in the same document (overlaps count).
-    ``spans`` are the maximal removed runs as [first word, words].
+    ``spans`` are the maximal removed runs as [first word, words]. ``limits``: see ``later_windows``.
 
-    * null text: no words, one row; fewer words than the window: nothing goes.
+    * null text: no words, one row; fewer words than the window: nothing goes. Texts of any length
+      are hashed in segments; the text itself is in memory whole.
     * null doc_id comes last; rows that share a doc_id are ordered by their text, equal rows in
       any one order, so all but one of them lose their windows.
     * empty table: no rows. Other columns are ignored, whatever their names.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
-    spark = docs.sparkSession
-    small_batches(docs.sparkSession)
-    buckets = partitions(spark)
     rows = keyed(docs)
-    slim = rows.select("rid", "text")
-    entries = slim.mapInPandas(_anchor_map(window, gram, buckets), R.PACKED)
-    repeated = R.by_document(entries, lambda p: R.count_anchors(p, buckets)).withColumnRenamed("a", "seen")
-    entries = rows.join(repeated, "rid").select("rid", "doc_id", "text", "seen").mapInPandas(_window_map(window, gram, buckets), R.PACKED)
-    later = R.by_document(entries, lambda p: _later_windows(p, buckets)).withColumnRenamed("a", "seen")
+    later = later_windows(rows, Words(window, gram), text_bytes(docs), **limits)
     schema = "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept_text string"
-    return rows.join(later, "rid", "left").select("doc_id", "text", "seen").mapInPandas(_cut(window), schema)
+    return rows.join(later, "rid", "left").select("doc_id", "text", "starts", "counts").mapInPandas(_cut(window), schema)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

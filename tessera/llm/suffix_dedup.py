@@ -1,16 +1,15 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A string of ``length`` bytes is a suffix of the corpus cut to that length; equal ones are
-neighbours in suffix order. Suffixes are dealt to buckets by their anchor (the smallest gram hash
-in the string, see ``rolling``), so equal strings share a bucket and a bucket is sorted by itself:
-first by the leading ``period`` bytes, then, for the long ties that copies make, by the
-precomputed ranks of cover-sample strings, then by the last ``period`` bytes. Memory follows the
-bucket, never the corpus. Strings whose anchor occurs once are unique and are not sent at all.
+neighbours in suffix order. ``repeats`` deals the suffixes that may have a partner to buckets (equal
+strings share one) and hands over one block of a bucket at a time, which bounds memory. A block is
+sorted by the leading ``period`` bytes, then, for the long ties that copies make, by the
+precomputed ranks of cover-sample strings, then by the last ``period`` bytes.
 """
 
 from __future__ import annotations
 
-from functools import cmp_to_key, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, partitions, small_batches, table
+from .common import keyed, table, text_bytes
+from .repeats import later_windows, removed
 
 GRAM = 32
 PERIOD = 32
-#: Suffixes that are sorted at a time within a bucket.
-BLOCK = 1 << 18
+#: Suffixes that are sorted at a time within a block.
+BLOCK = 1 << 17
 
 
 @lru_cache
@@ -62,17 +62,18 @@ def equal_strings(text: np.ndarray, starts: np.ndarray, length: int, v: int = PE
     """A group number for each start: equal if and only if the ``length`` bytes there are equal.
 
     ``length`` must be at least 2 v + 7. Blockwise: suffixes are split by their first two bytes
-    into blocks that are sorted one at a time.
+    into buckets, and buckets of about ``block`` suffixes are sorted one at a time.
     """
     if length < 2 * v + 7:
         raise ValueError("strings must be at least twice the cover's period and 7 bytes long")
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
     n = len(text)
     words = np.zeros(n, np.uint64)
     for j in range(8):
-        words |= padded[j : j + n] << np.uint64(56 - 8 * j)
+        words |= padded[j : j + n].astype(np.uint64) << np.uint64(56 - 8 * j)
 
-    # Ranks of the cover sample, each over the bytes that any tie leaves open before its tail.
+    # Ranks of the cover sample, each over the bytes that any tie leaves open before its tail:
+    # from within the first period up to a period before the end.
     reach = length - v + 1
     cover = np.zeros(v, bool)
     cover[list(difference_cover(v))] = True
@@ -81,7 +82,7 @@ def equal_strings(text: np.ndarray, starts: np.ndarray, length: int, v: int = PE
     np.add.at(needed, starts, 1)
     np.add.at(needed, np.minimum(starts + v, n), -1)
     sample = sample[np.cumsum(needed)[sample] > 0]
-    ranks = np.full(n, -1, np.int64)
+    ranks = np.full(n, -1, np.int32)
     if len(sample):
         order, dense = _dense(_columns(words, sample, reach))
         ranks[sample[order]] = dense
@@ -101,166 +102,63 @@ def equal_strings(text: np.ndarray, starts: np.ndarray, length: int, v: int = PE
             continue
         at = starts[mine]
         residue = at % v
-        head = _columns(words, at, v)
-        tail = _columns(words, at + length - v, v)
         own = ranks[at + shift[residue, residue]]
+        head, tail = _columns(words, at, v), _columns(words, at + length - v, v)
         order, group = _dense([*head, *tail, residue, own])
-        # A run of equal head and tail with several residues: compare one of each class by the
-        # cover positions that both residues share.
-        _, outer = _dense([*[c[order] for c in head], *[c[order] for c in tail]])
-        group = _merge(at[order], residue[order], group, outer, ranks, shift)
+        _, tie = _dense([*[c[order] for c in head], *[c[order] for c in tail]])
+        group = _across_residues(at[order], residue[order], group, tie, ranks, shift, lambda p: text[p : p + length].tobytes())
         out[mine[order]] = group + groups
         groups += int(group.max()) + 1
     return out
 
 
-def _merge(at, residue, group, outer, ranks, shift) -> np.ndarray:
-    firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    tie = outer[firsts]
-    ends = np.flatnonzero(np.concatenate([tie[1:] != tie[:-1], [True]])) + 1
-    names = np.arange(len(firsts))
-    lo = 0
-    for hi in ends.tolist():
-        reps = firsts[lo:hi]
-        if hi - lo > 1 and len(set(residue[reps].tolist())) > 1:
-
-            def order(a, b):
-                d = shift[residue[a], residue[b]]
-                x, y = ranks[at[a] + d], ranks[at[b] + d]
-                return int(x > y) - int(x < y)
-
-            ordered = sorted(range(lo, hi), key=lambda i: cmp_to_key(order)(firsts[i]))
-            for p, q in zip(ordered, ordered[1:]):
-                if order(firsts[p], firsts[q]) == 0:
-                    names[q] = names[p]
-        lo = hi
+def _across_residues(at, residue, group, tie, ranks, shift, string, rounds: int = 16) -> np.ndarray:
+    """Groups of one residue (head, tail and rank equal) joined over the residues of their tie.
+
+    Two suffixes of different residues compare at the shift that takes both into the cover. In
+    rounds, the first group left of each tie takes in all that equal it. What many different
+    strings of one head and tail leave after that is named by its bytes.
+    """
+    rep = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))  # a suffix of each group
+    tie, place, res = tie[rep], at[rep], residue[rep]
+    names = np.arange(len(rep))
+    left = names.copy()
+    for _ in range(rounds):
+        if not len(left):
+            break
+        first = np.concatenate([[True], tie[left][1:] != tie[left][:-1]])
+        lead = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        d = shift[res[left], res[lead]]
+        equal = ranks[place[left] + d] == ranks[place[lead] + d]
+        names[left[equal]] = lead[equal]
+        left = left[~equal]
+    known: dict[bytes, int] = {}
+    for i in left.tolist():
+        names[i] = known.setdefault(string(place[i]), i)
     return names[group]
 
 
-def _anchor_map(length: int, gram: int, buckets: int):
-    w = length - gram + 1
+class Bytes:
+    """Windows of bytes."""
 
-    def run(batches):
-        for rows in R.chunks(batches, "text"):
-            hs, rids, poss = [], [], []
-            for rid, text in rows:
-                grams = R.gram_hashes(R.BYTE_CODES[np.frombuffer(text.encode(), np.uint8)], gram)
-                at = R.anchors(grams, w)
-                if len(at):
-                    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                    hs.append(grams[at])
-                    rids.append(np.full(len(at), rid, np.int64))
-                    poss.append(at)
-            if hs:
-                yield R.repeated_anchor_rows((np.concatenate(hs), np.concatenate(rids), np.concatenate(poss)), buckets)
+    def __init__(self, window: int, gram: int = GRAM, v: int = PERIOD) -> None:
+        self.window, self.gram, self.v = window, gram, v
 
-    return run
+    def split(self, data: bytes) -> bytes:
+        return data
 
+    def join(self, units: bytes) -> bytes:
+        return units
 
-def _collapse(contexts) -> tuple[list, list]:
-    """Of equal contexts the earliest, and the others. A context: (bytes, rid, start, hash, anchor)."""
-    first: dict[bytes, tuple] = {}
-    later = []
-    for x in contexts:
-        y = first.get(x[0])
-        if y is None:
-            first[x[0]] = x
-        elif (x[1], x[2]) < (y[1], y[2]):
-            first[x[0]] = x
-            later.append(y)
-        else:
-            later.append(x)
-    return list(first.values()), later
-
-
-def _later_facts(later: list, length: int, buckets: int):
-    rid = np.array([x[1] for x in later], np.int64)
-    return R.facts(rid, [np.array([x[2] for x in later]), np.array([len(x[0]) - length + 1 for x in later])], buckets)
-
-
-def _context_map(length: int, gram: int, buckets: int):
-    """For each repeated anchor the bytes of the strings that have it: its piece of the bucket."""
-    w = length - gram + 1
-
-    def pieces(rows):
-        for rid, _, text, seen in rows:
-            data = text.encode()
-            grams = R.gram_hashes(R.BYTE_CODES[np.frombuffer(data, np.uint8)], gram)
-            at = R.anchors(grams, w)
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            last = np.append(first[1:], len(at)) - 1
-            keep = np.isin(at[first], np.frombuffer(seen, np.uint32).astype(np.int64))
-            lo, hi = first[keep], last[keep] + length
-            spots = at[lo]
-            for a, b, p, h in zip(lo.tolist(), hi.tolist(), spots.tolist(), grams[spots].tolist()):
-                yield data[a:b], rid, a, h, p - a
-
-    def run(batches):
-        for rows in R.chunks(batches, "text"):
-            first, later = _collapse(pieces(rows))
-            out = list(_later_facts(later, length, buckets))
-            held: dict[int, list] = {}
-            for x in first:
-                held.setdefault(x[3] % buckets, []).append(x)
-            for bucket, xs in held.items():
-                numbers = np.array([(x[2], len(x[0]), x[4]) for x in xs], np.uint32)
-                out.append((
-                    bucket, 0, np.array([x[3] for x in xs], np.uint64).tobytes(),
-                    np.array([x[1] for x in xs], np.int64).tobytes(), numbers.tobytes(), b"".join(x[0] for x in xs),
-                ))
-            yield R.frame(out)
-
-    return run
+    def codes(self, units: bytes) -> np.ndarray:
+        return R.BYTE_CODES[np.frombuffer(units, np.uint8)]
 
+    def numbers(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = np.frombuffer(b"".join(blobs), np.uint8)
+        return text, R.BYTE_CODES[text]
 
-def _unpack(part: pd.DataFrame):
-    for a, b, c, d in part[["a", "b", "c", "d"]].itertuples(index=False, name=None):
-        at = 0
-        numbers = np.frombuffer(c, np.uint32).reshape(-1, 3).tolist()
-        for h, rid, (start, size, anchor) in zip(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.int64).tolist(), numbers):
-            yield d[at : at + size], rid, start, h, anchor
-            at += size
-
-
-def _sort_bucket(contexts: list, length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """rid and start of every string of the contexts that an earlier one equals."""
-    # Each context starts where its anchor falls on a multiple of the cover's period: equal
-    # strings then share a residue, and ties need no comparison between residues.
-    parts, base, at = [], [], 0
-    for x in contexts:
-        pad = -(at + x[4]) % v
-        parts += [bytes(pad), x[0]]
-        base.append(at + pad)
-        at += pad + len(x[0])
-    text = np.frombuffer(b"".join([*parts, bytes(8)]), np.uint8)
-    count = np.array([len(x[0]) - length + 1 for x in contexts])
-    owner = np.repeat(np.arange(len(contexts)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    group = equal_strings(text, np.array(base)[owner] + offset, length, v)
-    rid = np.array([x[1] for x in contexts], np.int64)[owner]
-    start = np.array([x[2] for x in contexts], np.int64)[owner] + offset
-    order = np.lexsort((start, rid, group))
-    later = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-    return rid[order][later], start[order][later]
-
-
-def _bucket_reduce(pdf: pd.DataFrame, length: int, v: int, buckets: int) -> pd.DataFrame:
-    rows = list(pdf[pdf["kind"] == 1].itertuples(index=False, name=None))
-    first, later = _collapse(_unpack(pdf[pdf["kind"] == 0]))
-    rows += _later_facts(later, length, buckets)
-    by_hash: dict[int, list] = {}
-    for x in first:
-        by_hash.setdefault(x[3], []).append(x)
-    block, size = [], 0
-    pending = [xs for xs in by_hash.values() if len(xs) > 1]  # a lone context has no equal string
-    for i, xs in enumerate(pending):
-        block += xs
-        size += sum(len(x[0]) for x in xs)
-        if size >= 8 * BLOCK or i == len(pending) - 1:
-            rid, start = _sort_bucket(block, length, v)
-            rows += R.facts(rid, [start, np.ones(len(start))], buckets)
-            block, size = [], 0
-    return R.only_facts(rows)
+    def same(self, numbers: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        return equal_strings(numbers, starts, self.window, self.v)
 
 
 def _cut(length: int):
@@ -269,41 +167,32 @@ def _cut(length: int):
             out = []
             for doc_id, text, starts, counts in pdf[["doc_id", "text", "starts", "counts"]].itertuples(index=False, name=None):
                 data = text.encode()
-                kept, spans = data, np.zeros((0, 2), np.int64)
-                if starts is not None and len(starts):
-                    at = np.frombuffer(starts, np.uint32).astype(np.int64)
-                    n = np.frombuffer(counts, np.uint32).astype(np.int64)
-                    mask = R.coverage(len(data), at, n + length - 1)
-                    spans = R.runs(np.flatnonzero(mask))
-                    kept = np.frombuffer(data, np.uint8)[~mask].tobytes()
-                out.append((doc_id, len(data), len(data) - len(kept), spans.tolist(), kept))
+                mask = removed(len(data), starts, counts, length)
+                kept = np.frombuffer(data, np.uint8)[~mask].tobytes() if mask.any() else data
+                out.append((doc_id, len(data), len(data) - len(kept), R.runs(np.flatnonzero(mask)).tolist(), kept))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def remove_repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM, v: int = PERIOD) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM, v: int = PERIOD, **limits) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept``: one row for each row of ``docs``.
 
     A byte of the UTF-8 text goes if a string of ``length`` bytes that covers it also starts
     earlier: in a smaller doc_id, or earlier in the same document. Strings never cross documents
     and are judged on the input. ``spans`` are the maximal removed runs as [first byte, bytes];
-    ``kept`` is binary, since a cut may fall within a character.
+    ``kept`` is binary, since a cut may fall within a character. ``limits``: see ``later_windows``.
 
-    * null text: 0 bytes, one row; texts under ``length`` bytes lose nothing.
+    * null text: 0 bytes, one row; texts under ``length`` bytes lose nothing. Texts of any length
+      are hashed in segments; the text itself is in memory whole.
     * null doc_id comes last; rows that share a doc_id are ordered by their text, equal rows in
       any one order, so all but one of them lose their strings.
     * empty table: no rows. Other columns are ignored, whatever their names.
     """
     if length < max(gram, 2 * v + 7):
         raise ValueError("length must be at least the gram, and 7 over twice the cover's period")
-    small_batches(docs.sparkSession)
-    buckets = partitions(docs.sparkSession)
     rows = keyed(docs)
-    entries = rows.select("rid", "text").mapInPandas(_anchor_map(length, gram, buckets), R.PACKED)
-    repeated = R.by_document(entries, lambda p: R.count_anchors(p, buckets)).withColumnRenamed("a", "seen")
-    entries = rows.join(repeated, "rid").select("rid", "doc_id", "text", "seen").mapInPandas(_context_map(length, gram, buckets), R.PACKED)
-    later = R.by_document(entries, lambda p: _bucket_reduce(p, length, v, buckets), 2).withColumnsRenamed({"a": "starts", "b": "counts"})
+    later = later_windows(rows, Bytes(length, gram, v), text_bytes(docs), **limits)
     schema = "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary"
     return rows.join(later, "rid", "left").select("doc_id", "text", "starts", "counts").mapInPandas(_cut(length), schema)
 

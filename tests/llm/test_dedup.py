@@ -1,13 +1,16 @@
 """Repeated windows and strings against brute force; the suffix sorter against a dictionary."""
 
 import hashlib
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
+from tessera.llm import repeats
 from tessera.llm import rolling as R
-from tessera.llm.substring_dedup import op8_substring_dedup, remove_repeated_windows
-from tessera.llm.suffix_dedup import difference_cover, equal_strings, op6_suffix_array_dedup, remove_repeated_strings
+from tessera.llm.substring_dedup import Words, op8_substring_dedup, remove_repeated_windows
+from tessera.llm.suffix_dedup import Bytes, difference_cover, equal_strings, op6_suffix_array_dedup, remove_repeated_strings
 from tests.conftest import tables_dir
 from tests.llm.cases import ODD, documents, ordered, texts
 
@@ -64,6 +67,92 @@ def test_strings(spark, rows):
     assert string_rows(remove_repeated_strings(documents(spark, rows))) == expected_strings(rows, 100)
 
 
+def thue_morse(n):
+    """Two different words of 2**n letters whose polynomial hashes modulo 2**64 are equal at any odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart(spark):
+    x, y = thue_morse(10)
+    assert len(set(R.word_codes(f"{x} {y}".encode()).tolist())) == 2
+    shared = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {shared}"), (2, f"{y} {shared}"), (3, f"q {y} {shared}")]
+    assert window_rows(remove_repeated_windows(documents(spark, rows))) == expected_windows(rows, 20)
+
+
+def test_equal_hashes_are_confirmed():
+    """Windows that a hash takes for equal are kept apart by their words."""
+    units = Words(3, 1)
+    numbers, _ = units.numbers([b"a b c", b"a b d", b"a b c", b"x y z"])
+    got = units.same(numbers, np.array([0, 3, 6, 9]), np.zeros(4, np.uint64))
+    assert got[0] == got[2] and len(set(got.tolist())) == 3
+
+
+def passages(n, rng):
+    """Documents around one common passage each: frequent anchors, in different surroundings."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    common, line = " ".join(word() for _ in range(45)), " ".join(word() for _ in range(9))
+    out = []
+    for i in range(n):
+        middle = common if i % 3 else line
+        out.append(" ".join(word() for _ in range(rng.randint(0, 25))) + f" {middle} " + " ".join(word() for _ in range(rng.randint(0, 25))))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("places", [3, 10**6])
+def test_frequent_anchors(spark, places, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 64)  # in this process only; see test_segments
+    rows = passages(90, random.Random(places))
+    limits = {"frequent_places": places, "bucket_bytes": 2000, "block": 50}
+    assert window_rows(remove_repeated_windows(documents(spark, rows), **limits)) == expected_windows(rows, 20)
+    assert string_rows(remove_repeated_strings(documents(spark, rows), **limits)) == expected_strings(rows, 100)
+
+
+@pytest.mark.parametrize("units", [Bytes(100), Words(20)], ids=["bytes", "words"])
+def test_segments(units, monkeypatch):
+    """A long text in segments has the anchors of the whole text, and every window once."""
+    data = " ".join(t for _, t in passages(30, random.Random(1))).encode()
+    whole = units.split(data)
+    _, grams, at = repeats.anchored(units, whole)
+    want = [(i, p, grams[p]) for i, p in enumerate(at.tolist())]
+    monkeypatch.setattr(repeats, "SEGMENT", 150)
+    got = []
+    for lo, piece in repeats.segments(units, data):
+        _, grams, at = repeats.anchored(units, piece)
+        got += [(lo + i, lo + p, grams[p]) for i, p in enumerate(at.tolist())]
+    assert got == want
+
+
+@pytest.mark.parametrize("text", ["", "a ", "the same words again and again "], ids=["letters", "words", "phrase"])
+def test_very_long_text(spark, text):
+    """Longer than a segment, and all of it repeats (or nothing does)."""
+    n = (repeats.SEGMENT + 5000) // max(1, len(text)) if text else 0
+    long = text * n if text else " ".join(f"{i:x}" for i in range(250_000))
+    rows = [(1, long), (2, "x y " + long[-3000:])]
+    for got, units, length in ((remove_repeated_windows(documents(spark, rows)), words, 20), (remove_repeated_strings(documents(spark, rows)), lambda t: t.encode(), 100)):
+        rows_got = {r[0]: tuple(r)[1:3] for r in got.collect()}
+        assert rows_got == {i: (n, n - len(k)) for i, n, k, _ in brute(rows, units, length)}
+
+
+def test_one_anchor_many_contexts():
+    """Sixty thousand different contexts of one anchor: all unique, in little memory."""
+    rng = np.random.default_rng(0)
+    anchor = bytes(rng.integers(0, 256, 32).astype(np.uint8))
+    sides = rng.integers(0, 256, (60_000, 136)).astype(np.uint8)
+    contexts = [repeats.Context(bytes(s[:68]) + anchor + bytes(s[68:]), i, 0, 7, 68, 69) for i, s in enumerate(sides)]
+    contexts += [x._replace(rid=x.rid + 100_000, data=x.data[:150], windows=51) for x in contexts[:3]]
+    units = Bytes(100)
+    tracemalloc.start()
+    found = []
+    for part in repeats._blocks(units, [contexts], repeats.BLOCK):
+        rid, start = repeats.repeated_in(units, part)
+        found += zip(rid.tolist(), start.tolist())
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    assert sorted(found) == [(100_000 + i, a) for i in range(3) for a in range(51)]
+
+
 def test_queries_on_tables(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tables_dir()}/documents.parquet").collect()]
     sha = lambda x: hashlib.sha256(x).hexdigest()
