@@ -1,16 +1,16 @@
 """Model backends as protocols, run on partitions; a deterministic stub for tests.
 
-No model ships here: a backend is a factory that a task calls once, so weights load on the
-executor that uses them. Everything around the model stays native.
+No weights ship here: a backend is a factory that a task calls once, so weights load on the
+executor that uses them (``tessera.backends`` has one on the transformers library). Everything
+around the model stays native.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -24,6 +24,7 @@ from tessera.operators.relational import mask_prompt, truncate_with_end
 CAPTION_SAMPLING = {"max_new_tokens": 256, "temperature": 0.2, "top_p": 0.9}
 ANSWER_SAMPLING = {"max_new_tokens": 5, "temperature": 0.15, "top_p": 0.95}
 MICRO_BATCH = 2
+IGNORED = -100  # a label that no loss sees
 _ATTENTION = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj", "lm_head")
 MODELS = {
     "Qwen2.5-14B": ("Qwen/Qwen2.5-14B-Instruct", _ATTENTION, "alpaca"),
@@ -75,8 +76,16 @@ class Tokenizer(Protocol):
 
 
 class Trainer(Protocol):
+    """See ``tessera.training``: figures come back as dicts, ``save`` returns the bytes it wrote."""
+
+    def resume(self, path: str) -> None: ...
+
     def train(self, rows: DataFrame, config: TrainingConfig) -> dict: ...
 
+    def save(self, path: str) -> int: ...
+
+    def evaluate(self, rows: DataFrame) -> dict: ...
+
 
 class Stub:
     """Answers from a hash of the prompt: stable, and wrong at random."""
@@ -91,46 +100,47 @@ class Stub:
     def encode(self, text: str) -> list[int]:
         return [len(w) for w in text.split()]
 
-    def train(self, rows: DataFrame, config: TrainingConfig) -> dict:
-        return {"n_rows": rows.count(), "params": asdict(config)}
 
+def _mapped(df: DataFrame, factory: Callable, prompt: str, schema: str, answer: Callable, batch: int | None = None) -> DataFrame:
+    """Adds the columns of ``schema`` that ``answer(model, prompts)`` gives, ``batch`` prompts at a time."""
 
-def _mapped(df: DataFrame, factory: Callable, prompt: str, schema: str, answer: Callable) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for pdf in batches:
-            if len(pdf):
+            step = batch or max(1, len(pdf))
+            for lo in range(0, len(pdf), step):
                 model = model or factory()
-                yield pd.concat([pdf.reset_index(drop=True), answer(model, pdf[prompt].tolist())], axis=1)
+                part = pdf.iloc[lo : lo + step].reset_index(drop=True)
+                yield pd.concat([part, answer(model, part[prompt].tolist())], axis=1)
 
     names = [c.split()[0] for c in schema.split(", ")]
     fields = [f"`{n}` {t}" for n, t in df.dtypes if n not in names]
     return df.select(*[n for n in df.columns if n not in names]).mapInPandas(run, ", ".join([*fields, schema]))
 
 
-def generate(df: DataFrame, factory: Callable[[], Generator], prompt: str = "prompt_for_train", **sampling) -> DataFrame:
+def generate(df: DataFrame, factory: Callable[[], Generator], prompt: str = "prompt_for_train", batch: int | None = None, **sampling) -> DataFrame:
     """Adds ``text``, generated from each row's own prompt."""
     options = CAPTION_SAMPLING | sampling
-    return _mapped(df, factory, prompt, "text string", lambda m, p: pd.DataFrame({"text": m.generate(p, **options)}))
+    return _mapped(df, factory, prompt, "text string", lambda m, p: pd.DataFrame({"text": m.generate(p, **options)}), batch)
 
 
-def caption(df: DataFrame, factory: Callable[[], Generator], limit: int = -1, order: str | None = None, **sampling) -> DataFrame:
+def caption(df: DataFrame, factory: Callable[[], Generator], limit: int = -1, order: str | None = None, batch: int | None = None, **sampling) -> DataFrame:
     """Rows with a prompt, their label as ``gold_label`` and the parsed generation."""
     prompt = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("prompt_for_train", "prompt_for_desc") if c in df.columns])
     rows = df.withColumn("prompt_for_train", prompt).where("prompt_for_train is not null")
     if limit >= 0:
         rows = (rows.orderBy(order) if order else rows).limit(limit)
-    out = generate(rows.withColumnRenamed("label", "gold_label"), factory, **sampling)
+    out = generate(rows.withColumnRenamed("label", "gold_label"), factory, batch=batch, **sampling)
     return out.withColumn("generation", parse_generation(F.col("text"))).drop("text", "prompt_for_desc")
 
 
-def score(df: DataFrame, factory: Callable[[], Scorer], prompt: str = "prompt") -> DataFrame:
+def score(df: DataFrame, factory: Callable[[], Scorer], prompt: str = "prompt", batch: int | None = None) -> DataFrame:
     """Adds ``logprob_yes, logprob_no`` of the two answers after each prompt."""
 
     def answer(model: Scorer, prompts: list[str]) -> pd.DataFrame:
         return pd.DataFrame(model.logprobs(prompts, ("yes", "no")), columns=["logprob_yes", "logprob_no"])
 
-    return _mapped(df, factory, prompt, "logprob_yes double, logprob_no double", answer)
+    return _mapped(df, factory, prompt, "logprob_yes double, logprob_no double", answer, batch)
 
 
 def training_rows(df: DataFrame, factory: Callable[[], Tokenizer], prompt: str, full: str, cutoff: int = 1024, end_id: int = 0) -> DataFrame:
@@ -149,12 +159,3 @@ def training_rows(df: DataFrame, factory: Callable[[], Tokenizer], prompt: str,
     rows = rows.withColumn("input_ids", truncate_with_end(F.col("ids"), cutoff, end_id))
     labels = mask_prompt(F.col("input_ids"), F.least("p", F.lit(cutoff)))
     return rows.withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "labels": labels}).drop("p", "ids")
-
-
-def write_summary(path: str, config: TrainingConfig, **figures) -> None:
-    """The run's parameters and figures as one JSON object."""
-    from pathlib import Path
-
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps({"params": asdict(config), **figures}, ensure_ascii=False, indent=2), encoding="utf-8")

@@ -113,6 +113,11 @@ def truncate_with_end(ids: Column, cutoff: int, end_id: int) -> Column:
     return F.when(open_end, F.concat(cut, F.array(F.lit(end_id)))).otherwise(cut)
 
 
+def pad_to(ids: Column, length: Column, fill: int = 0) -> Column:
+    """The ids with fill values up to a length."""
+    return F.concat(ids, F.array_repeat(F.lit(fill), F.greatest(length - F.size(ids), F.lit(0))))
+
+
 def pad_right(ids: Column, fill: int = 0, multiple: int = 8) -> Column:
     """The ids with fill values up to the next multiple of a length."""
-    return F.concat(ids, F.array_repeat(F.lit(fill), F.pmod(-F.size(ids), F.lit(multiple))))
+    return pad_to(ids, F.size(ids) + F.pmod(-F.size(ids), F.lit(multiple)), fill)

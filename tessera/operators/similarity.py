@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, normalize_text, term_tokens, tokenize, with_bigrams
+from tessera.sources.shared import materialize
 
 MIN_DF, MAX_DF = 3, 0.9
 
@@ -49,8 +50,11 @@ def weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def cosine(pairs: DataFrame, row_id: str = "row_id", min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """``row_id, tfidf_cos`` for the rows whose two texts both keep a term; others have cosine 0."""
-    terms = pair_terms(pairs, row_id)
+    """``row_id, tfidf_cos`` for the rows whose two texts both keep a term; others have cosine 0.
+
+    The terms are cut and counted once, and written for the vocabulary and the weights.
+    """
+    terms = materialize(pair_terms(pairs, row_id), "pair-terms")
     w = weights(terms, vocabulary(terms, corpus_size(pairs), min_df, max_df))
     length = lambda c: F.sqrt(F.sum(c * c))
     sums = w.groupBy("row_id").agg(F.sum(F.col("w_q") * F.col("w_i")).alias("dot"), length(F.col("w_q")).alias("q"), length(F.col("w_i")).alias("i"))

@@ -19,7 +19,8 @@ FN_TERMS = (
 DEFAULTS = {"hi_cos": 0.35, "hi_jac": 0.20, "lo_cos": 0.12, "lo_jac": 0.05}
 P_HI, P_LO = 0.90, 0.10
 MIN_SUPPORT = 100
-#: Rows of a language and label whose exact quantiles one task may take; more go by rank.
+#: Rows of a language and label whose exact quantiles one task may take; more go by rank, with the
+#: same result.
 TASK_ROWS = 1 << 22
 
 
@@ -52,8 +53,9 @@ def quantiles_by_rank(rows: DataFrame) -> DataFrame:
     groups = placed.groupBy(*keys).agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("at", at)
     near = placed.join(groups, keys).withColumn("step", F.col("position") - F.col("first") - F.floor("at")).where("step in (0, 1)")
     low, high = (F.max(F.when(F.col("step") == i, F.col("v"))) for i in (0, 1))
-    share = F.any_value("at") - F.floor(F.any_value("at"))
-    found = near.groupBy(*keys).agg(F.any_value("n").alias("n"), (low + share * (F.coalesce(high, low) - low)).alias("q"))
+    place = F.any_value("at")  # the same interpolation as percentile's, to the last bit
+    between = (F.floor(place) + 1 - place) * low + (place - F.floor(place)) * high
+    found = near.groupBy(*keys).agg(F.any_value("n").alias("n"), F.when(F.coalesce(high, low) == low, low).otherwise(between).alias("q"))
     pick = lambda c, label, m="cos": F.max(F.when((F.col("label") == label) & (F.col("m") == m), F.col(c)))
     return found.groupBy("language").agg(
         F.coalesce(pick("n", "0"), F.lit(0)).alias("n0"), F.coalesce(pick("n", "1"), F.lit(0)).alias("n1"),

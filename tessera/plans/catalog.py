@@ -13,13 +13,14 @@ from tessera.functions import text as T
 from tessera.operators import relational as R
 from tessera.operators import similarity as S
 from tessera.operators import suspects as U
-from tessera.plans import refine
-from tessera.plans.oracle import ORACLE_SQL  # noqa: F401
+from tessera.plans import refine, runs
+from tessera.plans.oracle import ORACLE_SQL as RELATIONAL_SQL
 from tessera.plans.views import view
 from tessera.sources import files
-from tessera.sources.shared import shared_path
+from tessera.sources.shared import materialize, shared_path
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(runs.QUERIES)
+ORACLE_SQL: dict[str, str] = RELATIONAL_SQL | runs.ORACLE
 
 
 def query(f):
@@ -304,8 +305,8 @@ def tfidf_corpus(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir)
-    terms = S.pair_terms(pairs, "id")
+    pairs = materialize(_pairs(spark, sf_dir), "pair-texts")
+    terms = materialize(S.pair_terms(pairs, "id"), "pair-terms")
     return terms, S.vocabulary(terms, S.corpus_size(pairs))
 
 
@@ -325,7 +326,7 @@ def tfidf_weights(spark, sf_dir):
 
 @query
 def tfidf_cosine(spark, sf_dir):
-    return S.add_cosine(_pairs(spark, sf_dir), "id").select("id", F.round("tfidf_cos", 6).alias("tfidf_cos"))
+    return S.add_cosine(materialize(_pairs(spark, sf_dir), "pair-texts"), "id").select("id", F.round("tfidf_cos", 6).alias("tfidf_cos"))
 
 
 # Thresholds, predictions and suspects

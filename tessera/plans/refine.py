@@ -19,10 +19,13 @@ def item_column(task: str) -> str:
 
 
 def similarities(pairs: DataFrame, task: str, row_id: str = "id") -> DataFrame:
-    """Valid rows with both similarities. Row ids must be unique."""
+    """Valid rows with both similarities. Row ids must be unique.
+
+    The normalized texts are written once: term weights and the rules read them.
+    """
     item = item_column(task)
-    rows = valid_rows(pairs, item)
-    return similarity.add_cosine(similarity.add_pair_texts(rows, "origin_query", item), row_id)
+    rows = similarity.add_pair_texts(valid_rows(pairs, item), "origin_query", item)
+    return similarity.add_cosine(materialize(rows, "pair-texts"), row_id)
 
 
 def predictions(preds: DataFrame) -> DataFrame:
@@ -49,13 +52,12 @@ def largest_class(pairs: DataFrame) -> int:
 def flagged(pairs: DataFrame, preds: DataFrame | None, task: str = "QI", autotune: bool = True, min_support: int = suspects.MIN_SUPPORT, row_id: str = "id", task_rows: int = suspects.TASK_ROWS) -> DataFrame:
     """Every valid row with its similarities, thresholds and both flags.
 
-    Quantiles are taken after the prediction join, so its extra rows count. Whether one task may
-    take a language's quantiles is decided by the size of its largest class, from two columns.
+    Quantiles are taken after the prediction join, so its extra rows count. The joined rows are
+    written once, for the quantiles and for the rules. Whether one task may take a language's
+    quantiles is decided by the size of its largest class; either way gives the same numbers.
     """
-    rows = join_predictions(similarities(pairs, task, row_id), preds)
-    by_rank = autotune and largest_class(pairs) > task_rows
-    if by_rank:  # the rows are needed for the ranks and again for the rules
-        rows = materialize(rows, "similarities")
+    rows = materialize(join_predictions(similarities(pairs, task, row_id), preds), "similarities")
+    by_rank = autotune and largest_class(rows) > task_rows
     found = suspects.thresholds(rows, autotune, min_support, by_rank)
     return suspects.add_suspects(suspects.add_thresholds(rows, found))
 

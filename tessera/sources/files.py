@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +14,25 @@ SCHEMAS = {
 }
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, tolerant: bool = False) -> DataFrame:
+def file_order() -> Column:
+    """Where a scanned row stands: file, block of the file, and place within.
+
+    Tasks take blocks by size, so row numbers alone don't follow the files. To be selected right at
+    the scan; it orders rows, but does not count them.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
+def read_lines(spark: SparkSession, path: str, order: str) -> DataFrame:
+    """``value`` of each line that isn't blank, and its place in file order as ``order``."""
+    return spark.read.text(path).select("value", file_order().alias(order)).where(F.trim("value") != "")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: bool = False, tolerant: bool = False, order: str | None = None) -> DataFrame:
     """One JSON object a line; blank lines are skipped, or refused if ``strict``.
 
-    A malformed line fails the job, or is left out if ``tolerant``.
+    A malformed line fails the job, or is left out if ``tolerant`` (a writer that was cut off leaves
+    half a line). ``order`` names a column for the place in file order.
     """
     if strict:
         lines = spark.read.text(path).withColumn(
@@ -27,24 +40,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
         )
         parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
         return parsed.select("r.*")
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)
+    reader = spark.read.option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
+    rows = (reader.schema(schema) if schema else reader).json(path)
+    return rows.select("*", file_order().alias(order)) if order else rows
 
 
-def read_optional_jsonl(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+def read_optional_jsonl(spark: SparkSession, path: str | None, schema: str, tolerant: bool = False, order: str | None = None) -> DataFrame:
     """As ``read_jsonl``; without a path, or where there is no such file, an empty table."""
     if path:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            return read_jsonl(spark, path, schema)
+            return read_jsonl(spark, path, schema, tolerant=tolerant, order=order)
         spark._jvm.org.apache.log4j.LogManager.getLogger("tessera").warn(f"{path} is missing: taken as empty")
-    return spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], schema)
+    return empty.withColumn(order, F.lit(None).cast("struct<file:string,block:long,n:long>")) if order else empty
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: str | None = None, order: str | None = None) -> DataFrame:
     """Files that hold one JSON array of objects each, whatever their ending."""
     reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    rows = (reader.schema(schema) if schema else reader).json(path)
+    return rows.select("*", file_order().alias(order)) if order else rows
 
 
 def key_present(raw: Column, key: str) -> Column:
@@ -63,42 +80,39 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def json_array_lines(df: DataFrame, indent: int = 2) -> Iterator[str]:
-    """The rows as one JSON array, streamed partition by partition."""
-    yield "["
-    first = True
-    for row in df.toLocalIterator():
-        text = json.dumps(row.asDict(recursive=True), indent=indent, ensure_ascii=False)
-        yield ("" if first else ",") + "\n" + "\n".join(" " * indent + x for x in text.splitlines())
-        first = False
-    yield "]" if first else "\n]"
-
-
-def write_json_array(df: DataFrame, path: str, indent: int = 2) -> None:
-    """For small exports on the driver's disk: rows pass one partition at a time."""
-    from pathlib import Path
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any store that Spark writes to."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with target.open("w", encoding="utf-8") as out:
-        for piece in json_array_lines(df, indent):
-            out.write(piece)
 
-
-def write_json_arrays(df: DataFrame, path: str) -> None:
+def write_json_arrays(df: DataFrame, path: str, indent: int = 0) -> None:
     """Each part of the rows as a text file that is one JSON array, written by its task."""
 
     def bracketed(batches):
         before = "["
         for pdf in batches:
-            lines = [f"{',' if i or before != '[' else '['}{x}" for i, x in enumerate(pdf["value"])]
+            lines = [f"{',' if i or before != '[' else '['}{indented(x, indent)}" for i, x in enumerate(pdf["value"])]
             if lines:
                 before = ","
                 yield pd.DataFrame({"value": lines})
         yield pd.DataFrame({"value": ["[]" if before == "[" else "]"]})
 
     objects = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    objects.mapInPandas(bracketed, "value string").write.text(path)
+    objects.mapInPandas(bracketed, "value string").write.mode("overwrite").text(path)
+
+
+def indented(text: str, indent: int) -> str:
+    """A JSON object on lines of its own, or as it is without an indent."""
+    if not indent:
+        return text
+    pretty = json.dumps(json.loads(text), indent=indent, ensure_ascii=False)
+    return "\n" + "\n".join(" " * indent + x for x in pretty.splitlines())
 
 
 def summary(spark: SparkSession, **fields) -> DataFrame:

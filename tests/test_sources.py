@@ -32,12 +32,35 @@ def test_jsonl(spark, tmp_path):
     assert '"x":null' in text and "é" in text and files.read_jsonl(spark, str(tmp_path / "out"), "id string, x string").count() == 4
 
 
-def test_json_array(spark, tmp_path):
-    df = spark.createDataFrame([("1", "é"), ("2", None)], "id string, x string").coalesce(1)
-    target = tmp_path / "deep" / "a.txt"
-    files.write_json_array(df, str(target), 4)
-    assert json.loads(target.read_text()) == [{"id": "1", "x": "é"}, {"id": "2", "x": None}]
-    assert files.read_json_array(spark, str(target)).count() == 2
+def read_arrays(folder):
+    """All objects of a folder of files that hold one JSON array each."""
+    return [x for p in sorted(folder.glob("part*")) if p.stat().st_size for x in json.loads(p.read_text(encoding="utf-8"))]
+
+
+@pytest.mark.parametrize("indent", [0, 4])
+def test_json_array(spark, tmp_path, indent):
+    df = spark.createDataFrame([("1", "é"), ("2", None), ("3", 'a "b"')], "id string, x string").repartition(2)
+    files.write_json_arrays(df, str(tmp_path / "deep" / "a"), indent)
+    assert sorted(read_arrays(tmp_path / "deep" / "a"), key=lambda r: r["id"]) == [{"id": "1", "x": "é"}, {"id": "2", "x": None}, {"id": "3", "x": 'a "b"'}]
+    assert files.read_json_array(spark, str(tmp_path / "deep" / "a")).count() == 3
+    files.write_json_arrays(df.where("false"), str(tmp_path / "none"), indent)
+    assert read_arrays(tmp_path / "none") == []
+
+
+def test_file_order(spark, tmp_path):
+    """The order of the files by name, whatever their sizes make Spark read first."""
+    (tmp_path / "in").mkdir()
+    for i, n in enumerate((3, 400, 20)):
+        write_lines(tmp_path / "in" / f"{i}.txt", [{"id": f"{i}-{j:04}", "pad": "x" * 50} for j in range(n)])
+    want = sorted(f"{i}-{j:04}" for i, n in enumerate((3, 400, 20)) for j in range(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.read_jsonl(spark, str(tmp_path / "in"), "id string", order="at")
+        assert [r["id"] for r in rows.orderBy("at").collect()] == want
+        assert [r["id"] for r in cli.with_position(rows.withColumnRenamed("at", "_line")).orderBy("position").collect()] == want
+        assert "3" not in [r["id"] for r in rows.orderBy("at").limit(3).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_missing_is_not_null(spark):
@@ -84,12 +107,42 @@ def test_command_line(spark, tmp_path):
     run("caption", "--input", tmp_path / "qit", "--output", tmp_path / "cap", "--limit", 5)
     assert spark.read.json(str(tmp_path / "cap")).count() == 5
     run("convert", "--task", "QI", "--input_path", tmp_path / "cap", "--output_path", tmp_path / "final.txt")
-    final = json.loads((tmp_path / "final.txt").read_text())
+    final = read_arrays(tmp_path / "final.txt")
     assert len(final) == 5 and final[0]["gen_label"] in ("0", "1")
     run("predict", "--input", tmp_path / "final.txt", "--output", tmp_path / "pred")
     run("predict", "--input", tmp_path / "final.txt", "--output", tmp_path / "pred")
     assert spark.read.json(str(tmp_path / "pred")).count() == 5  # the second run finds all done
+    for f in (tmp_path / "pred").glob(".*"):
+        f.unlink()  # checksums of the files that are torn next
+    torn = next(p for p in (tmp_path / "pred").glob("part*") if p.stat().st_size)
+    torn.write_text(torn.read_text().rstrip()[:-20])
+    run("predict", "--input", tmp_path / "final.txt", "--output", tmp_path / "pred", "--temperature", 0.5, "--batch_size", 3)
+    again = files.read_jsonl(spark, str(tmp_path / "pred"), files.SCHEMAS["predictions"], tolerant=True).where("prediction is not null")
+    assert again.count() == 5 and again.select("id").distinct().count() == 5
+    run("predict", "--input", tmp_path / "final.txt", "--output", tmp_path / "bare", "--no-save_scores")
+    assert set(spark.read.json(str(tmp_path / "bare")).columns) == {"id", "prediction"}
     run("icl", "--run", "convert_qc_format_with_icl", "--input", qc, "--output", tmp_path / "icl.txt")
-    assert json.loads((tmp_path / "icl.txt").read_text())[0]["output"] == "yes"
+    assert read_arrays(tmp_path / "icl.txt")[0]["output"] == "yes"
     run("split", "--input", tmp_path / "final.txt", "--output", tmp_path / "split")
     assert spark.read.json(str(tmp_path / "split")).where("split = 'test'").count() == 1
+    run("train", "--input", tmp_path / "final.txt", "--output", tmp_path / "model")
+    first = json.loads((tmp_path / "model" / "training_summary.json").read_text())
+    assert first["params"]["cutoff_len"] == 1024 and first["num_tokens_k"] > 0 and first["model_size_MB"] > 0 and first["eval_loss"] > 0
+    assert len(first["sample"]["input_ids"]) == len(first["sample"]["labels"]) <= 1024
+    run("train", "--input", tmp_path / "final.txt", "--output", tmp_path / "more", "--resume_from_checkpoint", tmp_path / "model")
+    second = json.loads((tmp_path / "more" / "training_summary.json").read_text())
+    assert second["loss_tokens"] == 2 * first["loss_tokens"]
+
+
+def test_micro_batches(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Counting(models.Stub):
+        def generate(self, prompts, **sampling):
+            sizes.add(1)
+            assert len(prompts) <= 3 and sampling["temperature"] == 0.7 and sampling["top_p"] == 0.9
+            return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(str(i), f"p{i}") for i in range(10)], "id string, prompt string").coalesce(1)
+    out = models.generate(df, Counting, "prompt", 3, temperature=0.7).collect()
+    assert [(r["id"], r["text"]) for r in out] == [(str(i), f"P{i}") for i in range(10)] and sizes.value == 4
