@@ -31,10 +31,13 @@ MOST_PARTITIONS = 1 << 15
 #: Places that make an anchor a frequent one; grows with the corpus, which bounds their number.
 FREQUENT = 4096
 FREQUENT_SHARE = 1 << 27
-#: Units of a text that are hashed at a time.
+#: Units of a text that are hashed at a time, and bytes of texts that are hashed together.
 SEGMENT = 1 << 20
-#: Windows that are compared at a time, and contexts bytes that a task remembers to have sent.
+TOGETHER = 1 << 18
+#: Windows (or quarters of bytes) that are compared at a time, units that are hashed at a time,
+#: and bytes of contexts that a task remembers to have sent.
 BLOCK = 1 << 18
+SLAB = 1 << 17
 SENT_BYTES = 8 << 20
 
 
@@ -57,21 +60,78 @@ class Units(Protocol):
 
     def join(self, units) -> bytes: ...
 
-    def codes(self, units) -> np.ndarray: ...
+    def codes(self, pieces: list) -> np.ndarray: ...  # of the pieces' units, end to end
 
-    def numbers(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]: ...  # equal units, equal numbers; codes
+    def numbers(self, blobs: list[bytes]) -> np.ndarray: ...  # equal units and no others have equal numbers
+
+    def coded(self, numbers: np.ndarray) -> np.ndarray: ...
 
     def same(self, numbers: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray: ...  # group of each
 
 
-def segments(units: Units, data: bytes) -> Iterator[tuple]:
-    """(place, units) of overlapping pieces that hold every window once."""
+class Piece(NamedTuple):
+    """Units of a text from ``base`` on: all of them, or one of the overlapping parts of a long text."""
+
+    row: int
+    base: int
+    units: object
+
+
+def segments(units: Units, row: int, data: bytes) -> Iterator[Piece]:
+    """Pieces of a text that hold every window once."""
     whole = units.split(data)
     if len(whole) <= SEGMENT + units.window:
-        yield 0, whole
+        yield Piece(row, 0, whole)
         return
     for lo in range(0, len(whole) - units.window + 1, SEGMENT):
-        yield lo, whole[lo : lo + SEGMENT + units.window - 1]
+        yield Piece(row, lo, whole[lo : lo + SEGMENT + units.window - 1])
+
+
+class Hashed:
+    """Pieces hashed together, end to end; windows are those within a piece, in order.
+
+    ``at`` is the place of each window, ``anchor`` that of its anchor and ``owner`` its piece.
+    """
+
+    def __init__(self, units: Units, pieces: list[Piece]) -> None:
+        self.pieces, self.gram = pieces, units.gram
+        size = np.array([len(p.units) for p in pieces])
+        self.offset = np.cumsum(size) - size
+        self.codes = units.codes([p.units for p in pieces])
+        self.prefix = R.prefix_hash(self.codes)
+        self.grams = R.gram_hashes(self.codes, units.gram, self.prefix)
+        windows = np.maximum(size - units.window + 1, 0)
+        self.owner = np.repeat(np.arange(len(pieces)), windows)
+        self.at = np.arange(len(self.owner)) + np.repeat(self.offset - np.cumsum(windows) + windows, windows)
+        self.anchor = R.anchors(self.grams, units.window - units.gram + 1)[self.at] if len(self.at) else self.at
+
+    def place(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Places in the text, from places here."""
+        return at - self.offset[owner] + np.array([p.base for p in self.pieces])[owner]
+
+    def marked(self, packed: list) -> np.ndarray:
+        """A mask of the grams here that each row's packed places in its text name."""
+        out = np.zeros(len(self.codes), bool)
+        for p, lo in zip(self.pieces, self.offset.tolist()):
+            if packed[p.row] is not None:
+                own = np.frombuffer(packed[p.row], np.uint32).astype(np.int64) - p.base
+                out[own[(own >= 0) & (own <= len(p.units) - self.gram)] + lo] = True
+        return out
+
+
+def hashed(units: Units, texts: list[str]) -> Iterator[Hashed]:
+    """All texts in batches that fit a processor's cache."""
+    pieces, size = [], 0
+    for row, text in enumerate(texts):
+        data = text.encode()
+        for piece in segments(units, row, data):
+            pieces.append(piece)
+            size += min(len(data), SEGMENT)
+            if size >= TOGETHER:
+                yield Hashed(units, pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield Hashed(units, pieces)
 
 
 def window_hashes(codes: np.ndarray, length: int, at: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
@@ -81,35 +141,32 @@ def window_hashes(codes: np.ndarray, length: int, at: np.ndarray, prefix: np.nda
     return R.mix((prefix[at + length] - prefix[at]) * down[at])
 
 
-def anchored(units: Units, piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the piece, hashes of its grams, and the anchor of each window."""
-    codes = units.codes(piece)
-    grams = R.gram_hashes(codes, units.gram)
-    return codes, grams, R.anchors(grams, units.window - units.gram + 1)
+def _counted(found: list[tuple], buckets: int, sent: R.Sent) -> Iterator[pd.DataFrame]:
+    """The rows that count the (hashes, rids, places) of a chunk."""
+    if found:
+        yield R.repeated_rows(tuple(map(np.concatenate, zip(*found))), buckets, sent)
 
 
 def _anchor_map(units: Units, buckets: int):
     def run(batches):
         sent = R.Sent()
         for rows in R.chunks(batches, "text"):
-            hs, rids, poss = [], [], []
-            for rid, text in rows:
-                for lo, piece in segments(units, text.encode()):
-                    _, grams, at = anchored(units, piece)
-                    if len(at):
-                        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                        hs.append(grams[at])
-                        rids.append(np.full(len(at), rid, np.int64))
-                        poss.append(at + lo)
-            if hs:
-                yield R.repeated_rows((np.concatenate(hs), np.concatenate(rids), np.concatenate(poss)), buckets, sent)
+            rids, found = np.array([r[0] for r in rows], np.int64), []
+            for x in hashed(units, [r[1] for r in rows]):
+                first = np.flatnonzero(np.concatenate([[True], x.anchor[1:] != x.anchor[:-1]])) if len(x.at) else x.at
+                at, owner = x.anchor[first], x.owner[first]
+                own = rids[np.array([p.row for p in x.pieces])[owner]]
+                found.append((x.grams[at], own, x.place(at, owner)))
+            yield from _counted(found, buckets, sent)
         yield R.frame(sent.rest(buckets))
 
     return run
 
 
-def _places(packed) -> np.ndarray:
-    return np.zeros(0, np.int64) if packed is None else np.unique(np.frombuffer(packed, np.uint32)).astype(np.int64)
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 def _frequent_map(units: Units, frequent: np.ndarray, buckets: int):
@@ -118,46 +175,43 @@ def _frequent_map(units: Units, frequent: np.ndarray, buckets: int):
     def run(batches):
         sent = R.Sent()
         for rows in R.chunks(batches, "text"):
-            hs, rids, poss = [], [], []
-            for rid, _, text, seen in rows:
-                seen = _places(seen)
-                for lo, piece in segments(units, text.encode()):
-                    codes, grams, at = anchored(units, piece)
-                    mine = seen[(seen >= lo) & (seen < lo + len(grams))] - lo
-                    mine = mine[np.isin(grams[mine], frequent)]
-                    pos = np.flatnonzero(np.isin(at, mine))
-                    if len(pos):
-                        hs.append(window_hashes(codes, units.window, pos))
-                        rids.append(np.full(len(pos), rid, np.int64))
-                        poss.append(pos + lo)
-            if hs:
-                yield R.repeated_rows((np.concatenate(hs), np.concatenate(rids), np.concatenate(poss)), buckets, sent)
+            rids, found = np.array([r[0] for r in rows], np.int64), []
+            seen = [r[3] for r in rows]
+            for x in hashed(units, [r[2] for r in rows]):
+                often = x.marked(seen)
+                places = np.flatnonzero(often)
+                often[places] = _among(x.grams[places], frequent)
+                chosen = np.flatnonzero(often[x.anchor])
+                at, owner = x.at[chosen], x.owner[chosen]
+                own = rids[np.array([p.row for p in x.pieces])[owner]]
+                found.append((window_hashes(x.codes, units.window, at, x.prefix), own, x.place(at, owner)))
+            yield from _counted(found, buckets, sent)
         yield R.frame(sent.rest(buckets))
 
     return run
 
 
-def _contexts(units: Units, rid: int, data: bytes, seen: np.ndarray, again: np.ndarray, frequent: np.ndarray) -> Iterator[Context]:
-    for base, piece in segments(units, data):
-        _, grams, at = anchored(units, piece)
-        if not len(at):
+def _contexts(units: Units, rows: list[tuple], frequent: np.ndarray) -> Iterator[Context]:
+    """The runs of windows that share a repeated anchor; of a frequent one only repeated windows."""
+    seen, again = [r[3] for r in rows], [r[4] for r in rows]
+    for x in hashed(units, [r[2] for r in rows]):
+        if not len(x.at):
             continue
-        mine = seen[(seen >= base) & (seen < base + len(grams))] - base
-        keep = np.isin(at, mine)
+        mine = x.marked(seen)
+        keep = mine[x.anchor]
         if len(frequent):
-            often = mine[np.isin(grams[mine], frequent)]
-            if len(often):
-                repeated = np.zeros(len(at), bool)
-                repeated[again[(again >= base) & (again < base + len(at))] - base] = True
-                keep &= repeated | ~np.isin(at, often)
-        cut = np.concatenate([[True], (at[1:] != at[:-1]) | (keep[1:] != keep[:-1])])
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(at))
-        chosen = keep[first]
-        first, last = first[chosen], last[chosen]
-        spots = at[first]
-        for a, b, p, h in zip(first.tolist(), last.tolist(), spots.tolist(), grams[spots].tolist()):
-            yield Context(units.join(piece[a : b + units.window - 1]), rid, base + a, h, p - a, b - a)
+            places = np.flatnonzero(mine)
+            mine[places] = _among(x.grams[places], frequent)
+            keep &= ~mine[x.anchor] | x.marked(again)[x.at]
+        cut = np.flatnonzero(np.concatenate([[True], (x.anchor[1:] != x.anchor[:-1]) | (keep[1:] != keep[:-1])]))
+        end = np.append(cut[1:], len(keep))
+        cut, end = cut[keep[cut]], end[keep[cut]]
+        owner, spots = x.owner[cut], x.anchor[cut]
+        start = x.at[cut] - x.offset[owner]
+        columns = (owner, start, end - cut, spots - x.at[cut], x.grams[spots])
+        for o, a, n, p, h in zip(*(c.tolist() for c in columns)):
+            piece = x.pieces[o]
+            yield Context(units.join(piece.units[a : a + n + units.window - 1]), rows[piece.row][0], piece.base + a, h, p, n)
 
 
 def collapse(contexts, first: dict[bytes, Context] | None = None) -> tuple[list[Context], list[Context]]:
@@ -183,8 +237,7 @@ def _context_map(units: Units, frequent: np.ndarray, buckets: int):
         sent: dict[bytes, tuple[int, int]] = {}  # contexts that met a copy here, and the earliest one sent
         room = SENT_BYTES
         for rows in R.chunks(batches, "text"):
-            found = (c for rid, _, text, seen, again in rows for c in _contexts(units, rid, text.encode(), _places(seen), _places(again), frequent))
-            first, later = collapse(found)
+            first, later = collapse(_contexts(units, rows, frequent))
             copied = {x.data for x in later}
             held: dict[int, list[Context]] = {}
             for x in first:
@@ -230,20 +283,40 @@ def _occur_twice(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _all_hashes(units: Units, numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hashes of all windows of contexts of the given sizes, one slab of contexts at a time."""
+    ends = np.cumsum(size)
+    out, lo = [], 0
+    while lo < len(size):
+        base = int(ends[lo] - size[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SLAB, "right")))
+        n = size[lo:hi] - units.window + 1
+        at = np.arange(n.sum()) + np.repeat(np.cumsum(size[lo:hi]) - size[lo:hi] - np.cumsum(n) + n, n)
+        out.append(window_hashes(units.coded(numbers[base : int(ends[hi - 1])]), units.window, at))
+        lo = hi
+    return np.concatenate(out)
+
+
 def repeated_in(units: Units, contexts: list[Context]) -> tuple[np.ndarray, np.ndarray]:
     """rid and start of every window of the contexts that an earlier one equals."""
-    numbers, codes = units.numbers([x.data for x in contexts])
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(contexts) < 2:
+        return nothing
+    numbers = units.numbers([x.data for x in contexts])
     windows = np.array([x.windows for x in contexts])
     size = windows + units.window - 1
-    owner = np.repeat(np.arange(len(contexts)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = (np.cumsum(size) - size)[owner] + offset
-    hashes = window_hashes(codes, units.window, at)
+    hashes = _all_hashes(units, numbers, size)
     twice = np.flatnonzero(_occur_twice(hashes))
-    owner, offset, at, hashes = owner[twice], offset[twice], at[twice], hashes[twice]
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = units.same(numbers, at, hashes)
+    if not len(twice):
+        return nothing
+    ends = np.cumsum(windows)
+    owner = np.searchsorted(ends, twice, "right")
+    used = np.unique(owner)
+    if 2 * len(used) < len(contexts):
+        return repeated_in(units, [contexts[i] for i in used])
+    offset = twice - (ends - windows)[owner]
+    at = (np.cumsum(size) - size)[owner] + offset
+    group = units.same(numbers, at, hashes[twice])
     rid = np.array([x.rid for x in contexts], np.int64)[owner]
     start = np.array([x.start for x in contexts], np.int64)[owner] + offset
     order = np.lexsort((start, rid, group))
@@ -260,35 +333,45 @@ def _narrowed(units: Units, xs: list[Context], lo: int, hi: int) -> Iterator[Con
             yield Context(units.join(piece), x.rid, x.start + a, x.key, x.anchor - a, b - a)
 
 
+def _cost(x: Context) -> int:
+    return max(x.windows, len(x.data) // 4)
+
+
+def _by_content(part: list[Context], block: int) -> Iterator[list[Context]]:
+    """Contexts of one window each, sorted and cut between different ones."""
+    part.sort(key=lambda x: x.data)
+    lo, size = 0, 0
+    for i, x in enumerate(part):
+        if size >= block and x.data != part[i - 1].data:
+            yield part[lo:i]
+            lo, size = i, 0
+        size += _cost(x)
+    yield part[lo:]
+
+
 def _blocks(units: Units, groups: list[list[Context]], block: int) -> Iterator[list[Context]]:
     """The groups' contexts in blocks of about ``block`` windows that hold all partners of each.
 
     Small groups share a block. Equal windows have their anchor at the same place, so a large
-    group is cut by that place; and where one place alone has too many, by the windows' bytes.
+    group is cut by that place; and where one place alone has too many, by the windows' content.
     """
     held, size = [], 0
     for xs in groups:
-        n = sum(x.windows for x in xs)
-        if n > block:
-            places = units.window - units.gram + 1
-            step = max(1, places * block // n)
-            for lo in range(0, places, step):
-                part = list(_narrowed(units, xs, lo, lo + step))
-                if step > 1 or len(part) <= block:
-                    yield part
-                else:
-                    part.sort(key=lambda x: x.data)
-                    cuts = [0]
-                    for i in range(block, len(part)):
-                        if i - cuts[-1] >= block and part[i].data != part[i - 1].data:
-                            cuts.append(i)
-                    yield from (part[a:b] for a, b in zip(cuts, [*cuts[1:], len(part)]))
+        n = sum(map(_cost, xs))
+        if n <= block:
+            held += xs
+            size += n
+            if size >= block:
+                yield held
+                held, size = [], 0
             continue
-        held += xs
-        size += n
-        if size >= block:
-            yield held
-            held, size = [], 0
+        units_each = max(1, sum(x.windows + units.window - 1 for x in xs) // len(xs))
+        quarter = sum(len(x.data) for x in xs) / len(xs) / units_each / 4  # of a unit's bytes
+        places = units.window - units.gram + 1
+        step = max(1, min(places, block // len(xs), int(block / len(xs) / quarter) - units.window))
+        for lo in range(0, places, step):
+            part = list(_narrowed(units, xs, lo, lo + step))
+            yield from _by_content(part, block) if step == 1 and part else [part]
     if held:
         yield held
 
@@ -303,8 +386,6 @@ def _reduce(pdf: pd.DataFrame, units: Units, buckets: int, block: int) -> pd.Dat
     # A lone context may still hold a window twice only if the anchor came twice: then it is two.
     groups = [xs for xs in by_key.values() if len(xs) > 1]
     for part in _blocks(units, groups, block):
-        if len(part) < 2:
-            continue
         rid, start = repeated_in(units, part)
         rows += R.facts(rid, [start, np.ones(len(start))], buckets)
     return R.only_facts(rows)

@@ -36,6 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
 
 
+#: A mixed value for each (place in the word, byte); later places are mixed when they occur.
+PLACES = 16
+LETTER_CODES = mix(np.arange(PLACES << 8, dtype=U64) + U64(BASE))
+
+
 class Powers:
     """Powers of the base and of its inverse, grown on demand."""
 
@@ -87,10 +92,15 @@ def word_codes(data: bytes) -> np.ndarray:
     if not len(start):
         return np.zeros(0, U64)
     length = end - start
-    letters = a[~space]
     first = np.cumsum(length) - length  # of each word among the letters
-    place = np.arange(len(letters)) - np.repeat(first, length)
-    values = mix((place.astype(U64) << U64(8)) + letters + U64(BASE))
+    place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+    letter = (place << 8) + a[~space]
+    if length.max() > PLACES:
+        values = LETTER_CODES[np.minimum(letter, len(LETTER_CODES) - 1)]
+        late = np.flatnonzero(place >= PLACES)
+        values[late] = mix(letter[late].astype(U64) + U64(BASE))
+    else:
+        values = LETTER_CODES[letter]
     return mix(np.add.reduceat(values, first) + length.astype(U64) * U64(BASE))
 
 

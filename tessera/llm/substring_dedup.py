@@ -34,15 +34,17 @@ class Words:
     def join(self, units: list[bytes]) -> bytes:
         return b" ".join(units)
 
-    def codes(self, units: list[bytes]) -> np.ndarray:
-        return R.word_codes(b" ".join(units))
+    def codes(self, pieces: list[list[bytes]]) -> np.ndarray:
+        return R.word_codes(b" ".join([b" ".join(p) for p in pieces]))
 
-    def numbers(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, blobs: list[bytes]) -> np.ndarray:
         """Distinct words are numbered as they come, so different words never share a number."""
         known: dict[bytes, int] = {}
         words = b" ".join(blobs).split(b" ")
-        numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
-        return numbers, R.mix(numbers + R.U64(1))
+        return np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint64, len(words))
+
+    def coded(self, numbers: np.ndarray) -> np.ndarray:
+        return R.mix(numbers + R.U64(1))
 
     def same(self, numbers: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Windows in order of their hashes; neighbours are equal if all of their words are."""
@@ -101,3 +103,18 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, hash(list_slice(w, i, i + 19)) AS h, list_slice(w, i, i + 19) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20) AS s),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h, x ORDER BY doc_id, i) AS n FROM windows) AS s WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+placed AS (SELECT w.doc_id, w.i, w.word, max(a.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN again a ON w.doc_id = a.doc_id AND w.i = a.i),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS starts FROM placed)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256, coalesce(k.n_spans, 0)::BIGINT AS n_spans
+FROM docs d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE starts) AS n_spans
+  FROM runs GROUP BY doc_id) k ON d.doc_id = k.doc_id
+"""

@@ -150,12 +150,14 @@ class Bytes:
     def join(self, units: bytes) -> bytes:
         return units
 
-    def codes(self, units: bytes) -> np.ndarray:
-        return R.BYTE_CODES[np.frombuffer(units, np.uint8)]
+    def codes(self, pieces: list[bytes]) -> np.ndarray:
+        return self.coded(self.numbers(pieces))
 
-    def numbers(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        text = np.frombuffer(b"".join(blobs), np.uint8)
-        return text, R.BYTE_CODES[text]
+    def numbers(self, blobs: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(blobs), np.uint8)
+
+    def coded(self, numbers: np.ndarray) -> np.ndarray:
+        return R.BYTE_CODES[numbers]
 
     def same(self, numbers: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         return equal_strings(numbers, starts, self.window, self.v)
@@ -200,3 +202,20 @@ def remove_repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_strings(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (SELECT doc_id, i, b[i:i + 99] AS x FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM docs WHERE octet_length(b) >= 100) AS s),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM strings) AS s WHERE n > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS opens FROM again),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 99 AS hi FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) AS s GROUP BY doc_id, g),
+edges AS (
+  SELECT doc_id, hi + 1 AS lo, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) - 1, 1000000000000) AS hi FROM spans
+  UNION ALL SELECT doc_id, 1, min(lo) - 1 FROM spans GROUP BY doc_id),
+kept AS (SELECT e.doc_id, string_agg(hex(d.b[e.lo:least(e.hi, octet_length(d.b))]), '' ORDER BY e.lo) AS kept FROM edges e JOIN docs d ON e.doc_id = d.doc_id GROUP BY e.doc_id),
+sums AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN s.doc_id IS NULL THEN d.b ELSE unhex(k.kept) END) AS kept_sha256
+FROM docs d LEFT JOIN sums s ON d.doc_id = s.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""

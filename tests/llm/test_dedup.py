@@ -84,7 +84,7 @@ def test_words_are_told_apart(spark):
 def test_equal_hashes_are_confirmed():
     """Windows that a hash takes for equal are kept apart by their words."""
     units = Words(3, 1)
-    numbers, _ = units.numbers([b"a b c", b"a b d", b"a b c", b"x y z"])
+    numbers = units.numbers([b"a b c", b"a b d", b"a b c", b"x y z"])
     got = units.same(numbers, np.array([0, 3, 6, 9]), np.zeros(4, np.uint64))
     assert got[0] == got[2] and len(set(got.tolist())) == 3
 
@@ -101,8 +101,7 @@ def passages(n, rng):
 
 
 @pytest.mark.parametrize("places", [3, 10**6])
-def test_frequent_anchors(spark, places, monkeypatch):
-    monkeypatch.setattr(repeats, "SEGMENT", 64)  # in this process only; see test_segments
+def test_frequent_anchors(spark, places):
     rows = passages(90, random.Random(places))
     limits = {"frequent_places": places, "bucket_bytes": 2000, "block": 50}
     assert window_rows(remove_repeated_windows(documents(spark, rows), **limits)) == expected_windows(rows, 20)
@@ -110,18 +109,27 @@ def test_frequent_anchors(spark, places, monkeypatch):
 
 
 @pytest.mark.parametrize("units", [Bytes(100), Words(20)], ids=["bytes", "words"])
-def test_segments(units, monkeypatch):
-    """A long text in segments has the anchors of the whole text, and every window once."""
-    data = " ".join(t for _, t in passages(30, random.Random(1))).encode()
-    whole = units.split(data)
-    _, grams, at = repeats.anchored(units, whole)
-    want = [(i, p, grams[p]) for i, p in enumerate(at.tolist())]
+@pytest.mark.parametrize("together", [500, 10**6])
+def test_segments(units, together, monkeypatch):
+    """Texts hashed together or in segments have the anchors of each by itself, every window once."""
+    data = [" ".join(t for _, t in passages(n, random.Random(n))) for n in (30, 0, 1, 2, 25)]
+
+    def found():
+        out = []
+        for x in repeats.hashed(units, data):
+            row = np.array([p.row for p in x.pieces])[x.owner]
+            out += zip(row.tolist(), x.place(x.at, x.owner).tolist(), x.place(x.anchor, x.owner).tolist(), x.grams[x.anchor].tolist())
+        return out
+
+    want = []
+    for i, t in enumerate(data):
+        whole = units.split(t.encode())
+        grams = R.gram_hashes(units.codes([whole]), units.gram)
+        want += [(i, a, p, grams[p]) for a, p in enumerate(R.anchors(grams, units.window - units.gram + 1).tolist())]
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    assert found() == want
     monkeypatch.setattr(repeats, "SEGMENT", 150)
-    got = []
-    for lo, piece in repeats.segments(units, data):
-        _, grams, at = repeats.anchored(units, piece)
-        got += [(lo + i, lo + p, grams[p]) for i, p in enumerate(at.tolist())]
-    assert got == want
+    assert found() == want
 
 
 @pytest.mark.parametrize("text", ["", "a ", "the same words again and again "], ids=["letters", "words", "phrase"])
