@@ -17,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts are long: hand Python workers few rows at a time, so that memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def release_memory() -> None:
     """Hand freed memory back to the system: a worker that waits for its next task keeps it else."""
     try:

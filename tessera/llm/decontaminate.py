@@ -1,8 +1,10 @@
 """Benchmark decontamination: every training passage queries an index of the test items.
 
 The items are the indexed side, since they are few: a BM25 inverted index with impacts divided by
-the item's score against itself, so that 1 means "all of the item". Passages overlap by half and
-are twice as long as the longest item, so a leaked item lies whole within one. A passage first
+the item's score against itself, so that 1 means "all of the item". Term weights come from all
+items. Passages overlap by half and are at least twice as long as an item, by classes of item
+length, so a leaked item lies whole within one; an item's score depends on no other index.
+Indexes of bounded size are files in the shared folder, and a task holds one at a time. A passage first
 meets the bounds of item blocks (its terms' largest impacts in the block, all blocks and passages
 of a document at once), and where a block's bound reaches the threshold, block-max WAND runs over
 the postings. A document that holds the question without the answer scores too little for that, so
@@ -12,8 +14,13 @@ verified exactly: the overlap of the item's question and answer n-grams with the
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, trimmed
+from .common import materialize, scratch_path, table, trimmed
+from .files import open_file, write_file
 from .rolling import mix
 
 K1, B = 1.2, 0.75
@@ -33,6 +41,10 @@ PASSAGE = 128
 BLOCK_ITEMS, MAX_BLOCKS = 4, 64
 #: Characters of items in one index: what a task holds is bounded, more items make more indexes.
 SHARD_CHARS = 8 << 20
+#: Numbers that one step of the bounds takes, and characters of documents that meet one index after
+#: the other.
+STEP = 4 << 20
+HELD_CHARS = 32 << 20
 
 _word = re.compile(r"\w+")
 
@@ -72,16 +84,33 @@ class Posting:
     tops: np.ndarray  # the largest impact in each item block
 
 
+@dataclass
+class Corpus:
+    """What term weights take from all items: their number, mean length and document frequencies."""
+
+    items: int
+    mean: float
+    df: dict[str, int]
+
+
+def passage_size(words: int) -> int:
+    """The words of a passage for items of a length: at least twice as many, a power of two."""
+    size = PASSAGE
+    while size < 2 * words:
+        size *= 2
+    return size
+
+
 class Index:
     """BM25 postings over ``items`` (id, text); items are numbered by their length in words."""
 
-    def __init__(self, items: list[tuple]) -> None:
+    def __init__(self, items: list[tuple], corpus: Corpus | None = None, size: int | None = None) -> None:
         kept = sorted(((len(w), str(i), i, t, w) for i, t in items if (w := words_of(t))), key=lambda x: x[:2])
         self.ids = [x[2] for x in kept]
         self.parts = [question_and_answer(x[3]) for x in kept]
         self.grams = [(grams(q), grams(a)) for q, a in self.parts]
         lengths = np.array([x[0] for x in kept], float)
-        self.longest = int(lengths.max()) if len(kept) else 0
+        self.size = size or passage_size(int(lengths.max()) if len(kept) else 0)
         self.block_items = max(BLOCK_ITEMS, -(-len(kept) // MAX_BLOCKS))
         self.blocks = -(-len(kept) // self.block_items)
         found: dict[str, dict[int, int]] = {}
@@ -89,15 +118,16 @@ class Index:
             for w in x[4]:
                 at = found.setdefault(w, {})
                 at[n] = at.get(n, 0) + 1
+        if corpus is None:  # these items are all there are
+            corpus = Corpus(len(kept), float(lengths.mean()) if len(kept) else 1.0, {w: len(at) for w, at in found.items()})
         self.terms = {w: i for i, w in enumerate(found)}
-        mean = lengths.mean() if len(kept) else 1.0
         own = np.zeros(len(kept))
         raw = []
-        for at in found.values():
+        for w, at in found.items():
             nos = np.fromiter(at, np.int64, len(at))
             tf = np.fromiter(at.values(), float, len(at))
-            idf = np.log(1 + (len(kept) - len(at) + 0.5) / (len(at) + 0.5))
-            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[nos] / mean))
+            idf = np.log(1 + (corpus.items - corpus.df[w] + 0.5) / (corpus.df[w] + 0.5))
+            impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[nos] / corpus.mean))
             own[nos] += impact
             raw.append((nos, impact))
         self.postings = []
@@ -119,23 +149,32 @@ class Index:
         none = len(self.terms)
         return np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
 
-    def passages(self, ids: np.ndarray, size: int = PASSAGE) -> np.ndarray:
-        """Term numbers of overlapping passages, a row each, every term once; the rest is no term."""
-        none = len(self.terms)
-        size = max(size, 2 * self.longest)
+    def passages(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """Term numbers of overlapping passages, a row each, every term once; the rest is no term.
+
+        A few rows at a time, so that a long text or a long passage takes bounded memory.
+        """
+        none, size = len(self.terms), self.size
         step = size // 2
         count = max(1, -(-(len(ids) - size) // step) + 1) if len(ids) > size else 1
-        padded = np.full((count - 1) * step + size, none)
-        padded[: len(ids)] = ids
-        rows = np.sort(np.lib.stride_tricks.sliding_window_view(padded, size)[::step], axis=1)
-        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
-        return rows
+        together = max(1, STEP // 16 // size)
+        for lo in range(0, count, together):
+            n = min(together, count - lo)
+            padded = np.full((n - 1) * step + size, none)
+            part = ids[lo * step : lo * step + len(padded)]
+            padded[: len(part)] = part
+            rows = np.sort(np.lib.stride_tricks.sliding_window_view(padded, size)[::step], axis=1)
+            rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = none
+            yield rows
 
     def hopeful(self, rows: np.ndarray, threshold: float) -> np.ndarray:
         """Which passages have a block whose bound reaches the threshold (block maxima, summed)."""
         out = np.zeros(len(rows), bool)
-        for lo in range(0, len(rows), 64):
-            out[lo : lo + 64] = (self.bounds[rows[lo : lo + 64]].sum(1) >= threshold - 1e-4).any(1)
+        wide = max(1, STEP // self.bounds.shape[1])  # terms in one step
+        for lo in range(0, len(rows), max(1, wide // rows.shape[1])):
+            part = rows[lo : lo + max(1, wide // rows.shape[1])]
+            total = sum(self.bounds[part[:, at : at + wide]].sum(1) for at in range(0, part.shape[1], wide))
+            out[lo : lo + len(part)] = (total >= threshold - 1e-4).any(1)
         return out
 
     def wand(self, terms: list[int], threshold: float) -> dict[int, float]:
@@ -191,13 +230,13 @@ class Index:
         found = np.bincount(np.concatenate([self.gram_items[a:b] for a, b in zip(lo[hits], hi)]), minlength=len(self.ids))
         return np.flatnonzero((found > 0) & (found >= overlap * self.gram_counts - 1e-9)).tolist()
 
-    def score(self, n: int, rows: np.ndarray) -> float:
+    def score(self, n: int, ids: np.ndarray) -> float:
         """An item's score for the best of the passages."""
         weights = np.zeros(len(self.terms) + 1)
         for t in {self.terms[w] for part in self.parts[n] for w in part}:
             p = self.postings[t]
             weights[t] = p.impacts[np.searchsorted(p.items, n)]
-        return float(weights[rows].sum(1).max())
+        return max(float(weights[rows].sum(1).max()) for rows in self.passages(ids))
 
     def matches(self, text: str | None, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> list[tuple]:
         """(item id, score, question overlap, answer overlap) of each item that the text leaks."""
@@ -205,16 +244,16 @@ class Index:
         if not words or not self.ids:
             return []
         ids = self.numbers(words)
-        rows = self.passages(ids)
         best: dict[int, float] = {}
         none = len(self.terms)
-        for r in np.flatnonzero(self.hopeful(rows, retrieve)):
-            terms = rows[r]
-            for n, score in self.wand(terms[terms != none].tolist(), retrieve).items():
-                best[n] = max(score, best.get(n, 0.0))
+        for rows in self.passages(ids):
+            for r in np.flatnonzero(self.hopeful(rows, retrieve)):
+                terms = rows[r]
+                for n, score in self.wand(terms[terms != none].tolist(), retrieve).items():
+                    best[n] = max(score, best.get(n, 0.0))
         for n in self.asked(ids, overlap):
             if n not in best:
-                best[n] = self.score(n, rows)
+                best[n] = self.score(n, ids)
         out = []
         have: dict[int, set] = {}
         for n in sorted(best):
@@ -229,57 +268,128 @@ class Index:
         return out
 
 
-def indexes(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> list[Index]:
-    """The items' indexes: one for each ``shard_chars`` of their texts, built one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(chars // shard_chars) + 1
-    shard = F.pmod(F.xxhash64("text"), F.lit(shards))
-    return [Index([tuple(r) for r in items.where(shard == s).collect()]) for s in range(shards)]
+def _sized(batches):
+    for pdf in batches:
+        yield pd.DataFrame({"item_id": pdf["item_id"].astype("Int64"), "text": pdf["text"], "n": [len(words_of(t)) for t in pdf["text"]]})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
-    """``doc_id, item_id, score, question_overlap, answer_overlap``: a row for each leaked item.
+def _terms(batches):
+    for pdf in batches:
+        rows = [(size, shard, w) for size, shard, t in pdf[["size", "shard", "text"]].itertuples(index=False, name=None) for w in set(words_of(t))]
+        yield pd.DataFrame(rows, columns=["size", "shard", "term"])
+
+
+def write_indexes(benchmark: DataFrame, folder: str, shard_chars: int = SHARD_CHARS) -> list[str]:
+    """The files of the items' indexes: for each class of item length, one for each ``shard_chars``.
+
+    Weights are those of all items, whatever the number of indexes. Tasks build and write them; the
+    driver gets the sums of the length classes and a path for each index.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = items.mapInPandas(_sized, "item_id long, text string, n long").where("n > 0")
+    size = F.greatest(F.lit(PASSAGE).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") * 2.0) - 1e-9)).cast("long"))
+    items = materialize(items.withColumn("size", size), "items")
+    classes = items.groupBy("size").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("words")).collect()
+    if not classes:
+        return []
+    count, mean = sum(c["n"] for c in classes), sum(c["words"] for c in classes) / sum(c["n"] for c in classes)
+    shards = F.lit(1)
+    for c in classes:
+        shards = F.when(F.col("size") == c["size"], F.lit(c["chars"] // shard_chars + 1)).otherwise(shards)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("text"), shards).cast("long"))
+    terms = materialize(items.mapInPandas(_terms, "size long, shard long, term string"), "item-terms")
+    df = terms.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df"))
+    weights = terms.distinct().join(df, F.col("term") == F.col("t")).select("size", "shard", "term", "df")
+
+    def build(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"path": []}, dtype=str)
+        corpus = Corpus(count, mean, dict(zip(known["term"], known["df"].tolist())))
+        rows = [(None if pd.isna(i) else int(i), t) for i, t in mine[["item_id", "text"]].itertuples(index=False, name=None)]
+        index = Index(rows, corpus, int(mine["size"].iloc[0]))
+        path = f"{folder}/{uuid.uuid4().hex}.index"  # another attempt of this task writes another file
+        write_file(path, [zlib.compress(pickle.dumps(index), 1)])
+        return pd.DataFrame({"path": [path]})
+
+    built = items.groupBy("size", "shard").cogroup(weights.groupBy("size", "shard")).applyInPandas(build, "path string")
+    return sorted(r["path"] for r in built.collect())
+
+
+@lru_cache(1)
+def load_index(path: str) -> Index:
+    with open_file(path) as f:
+        return pickle.loads(zlib.decompress(f.read()))
+
+
+def held(batches, size, limit: int) -> Iterator[list]:
+    """Batches in lists of about ``limit`` characters, so that loading one index after the other pays."""
+    part, chars = [], 0
+    for batch in batches:
+        part.append(batch)
+        chars += size(batch)
+        if chars >= limit:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
+LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """``doc_id, item_id, score, question_overlap, answer_overlap, leak``: a row for each leaked item.
 
     An item is leaked by a document if ``overlap`` of the question's word 5-grams are in the
-    document, with or without the answer. A question of under 5 words says little by itself: the
+    document: ``leak`` is ``item`` where as much of the answer's is there too (or there is none),
+    else ``question``. A question of under 5 words says little by itself: the
     whole of it must be there, and a passage that scores ``retrieve`` of what the item scores
     against itself. ``score`` is the best passage's; the answer's share is reported (1 without an
-    answer). No shuffle: tasks hold a bounded index and stream the documents.
+    answer). No shuffle of documents: tasks hold one bounded index at a time and read them once.
 
     * null or empty texts, on either side, match nothing; a null doc_id or item_id is kept;
       repeated documents give their rows each, repeated items too. Empty tables: no rows. Other
-      columns are ignored.
+      columns are ignored. Texts and items of any length are met in bounded steps.
     """
-    small_batches(docs.sparkSession)
-    out = None
-    for index in indexes(benchmark):
-
-        def run(batches, index=index):
-            for pdf in batches:
-                rows = [(d, *m) for d, t in pdf[["doc_id", "text"]].itertuples(index=False, name=None) for m in index.matches(t, retrieve, overlap)]
+    paths = write_indexes(benchmark, scratch_path(docs.sparkSession, "indexes"), shard_chars)
+    names, limit = [c.split()[0] for c in LEAKS.split(", ")], HELD_CHARS if len(paths) > 1 else 0
+
+    def run(batches):
+        for part in held(batches, lambda pdf: pdf["text"].str.len().sum(), limit):
+            for path in paths:
+                index = load_index(path)
+                rows = [(d, *m) for pdf in part for d, t in pdf[["doc_id", "text"]].itertuples(index=False, name=None) for m in index.matches(t, retrieve, overlap)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-            trimmed(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-        )
-        out = part if out is None else out.unionAll(part)
-    return out
+                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
+    leak = F.when(F.col("answer_overlap") >= overlap, "item").otherwise("question")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(trimmed(run), LEAKS).withColumn("leak", leak)
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs`` that leak no item, all columns as they are; see ``find_leaks``."""
-    small_batches(docs.sparkSession)
-    for index in indexes(benchmark):
 
-        def run(batches, index=index):
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not index.matches(t, retrieve, overlap) for t in texts], pa.bool_()))
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of ``docs`` that leak no item, all columns as they are; see ``find_leaks``.
 
-        docs = docs.mapInArrow(trimmed(run), docs.schema)
-    return docs
+    Null and empty texts leak nothing and stay, with whatever other columns; repeated rows go or
+    stay together; without items all stay; an empty table stays empty.
+    """
+    paths = write_indexes(benchmark, scratch_path(docs.sparkSession, "indexes"), shard_chars)
+    limit = HELD_CHARS if len(paths) > 1 else 0
+
+    def run(batches):
+        def texts(batch):
+            return batch.column(batch.schema.get_field_index("text"))
+
+        for part in held(batches, lambda batch: texts(batch).nbytes, limit):
+            clean = [np.ones(batch.num_rows, bool) for batch in part]
+            for path in paths:
+                index = load_index(path)
+                for batch, fine in zip(part, clean):
+                    for i in np.flatnonzero(fine):
+                        fine[i] = not index.matches(texts(batch)[int(i)].as_py(), retrieve, overlap)
+            for batch, fine in zip(part, clean):
+                yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

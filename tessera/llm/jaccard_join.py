@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, materialize, partitions, small_batches, table, trimmed
+from .common import keyed, materialize, partitions, table, trimmed
 from .components import connected_components
 
 GRAM = 5
@@ -281,7 +281,6 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     * repeated rows are documents of their own, linked as copies; null doc_ids too.
     * empty table: no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     rows = keyed(docs)
     found = jaccard_groups(rows, threshold, gram, depth, recall, block)
     return rows.select(F.col("rid").alias("r"), "doc_id").join(found, F.col("r") == F.col("rid")).select(
@@ -291,7 +290,6 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
 
 def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that are the earliest of their class, all columns as they are."""
-    small_batches(docs.sparkSession)
     rows = keyed(docs, whole=True)
     found = jaccard_groups(rows.select("rid", "text"), threshold, gram, depth, recall)
     first = found.where("root = rid").select(F.col("rid").alias("r"))
@@ -300,3 +298,18 @@ def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i, i + 4) END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0) AS s),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE s.n >= 0.8 * (x.n + y.n - s.n) - 1e-9),
+reach(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.id = l.a WHERE r.root < l.b)
+SELECT d.doc_id, least(d.doc_id, c.class_id) AS class_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN (SELECT id, min(root) AS class_id FROM reach GROUP BY id) c ON d.doc_id = c.id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON d.doc_id = k.a
+"""

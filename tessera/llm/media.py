@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch_path, small_batches, table
+from .common import scratch_path, table
 from .files import list_files, open_file, store, write_file
 
 MAGIC = b"TSARCH01"
@@ -121,7 +121,6 @@ def write_archives(payloads: DataFrame, folder: str) -> None:
     The manifest names the archives of tasks that ended well; what lost or doubled attempts wrote
     is not read. One row for each archive reaches the driver.
     """
-    small_batches(payloads.sparkSession)
     rows = payloads.select("id", "data").mapInPandas(_write_archives(folder), "name string, size long, members long").collect()
     write_file(f"{folder}/{MANIFEST}", [json.dumps([[r["name"], r["size"]] for r in rows]).encode()])
 

@@ -3,8 +3,9 @@
 A logistic classifier over text features gives each document log odds under the corpus-wide rate.
 Sites (hosts) and their paths (sections) get beta posteriors from grouped sums of those
 probabilities, each level shrunk towards the one above with a weight estimated from the spread of
-its groups; sparse sites stay at the global prior. Bayes' rule then swaps the corpus-wide prior
-odds for those of the document's path.
+its groups; sparse sites stay at the global prior. A document's own probability is taken out of its
+site's and path's sums, so that it counts once. Bayes' rule then swaps the corpus-wide prior odds
+for those of the document's path.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_memory, small_batches, table
+from .common import materialize, release_memory, table
 
 #: Labelled rows that the classifier is fitted on, at most: those of the smallest hash.
 FIT_ROWS = 20_000
-#: Words that tell bad documents, at most, and what a word needs to be one.
-FIT_WORDS, MIN_BAD, MIN_Z = 4_000, 8, 5.0
+#: What a word needs to be one that tells bad documents; FIT_ROWS bounds how many there can be.
+MIN_BAD, MIN_Z = 8, 5.0
 THRESHOLD = 0.5
 MIN_WEIGHT, MAX_WEIGHT = 5.0, 1000.0
+#: Bytes of sites and paths (their names and some numbers each) up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 NAMES = ("words", "variety", "repeats", "length", "symbols", "pipes", "digits", "stops", "lines", "told", "told_share", "letters")
 
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -96,23 +99,24 @@ def _word_counts(batches):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fit on at most ``rows`` labelled documents, those whose doc_id has the smallest hash.
 
-    Good is quality 1 and not toxic; several labels of one document: good only if all are. Only
-    the bounded sample of labels is broadcast; the driver gets its features and at most FIT_WORDS
-    words.
+    Good is quality 1 and not toxic; several labels of one document: good only if all are; several
+    documents of one doc_id: the text that sorts first. So the rows of the fit, not only its ids,
+    are at most ``rows``. The bounded sample of labels is broadcast; the driver gets the features of
+    the fit's rows, and the words that tell.
     """
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
     marks = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("id"), good.alias("good"))
     sample = marks.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = materialize(sample, "quality-sample")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(sample), "id")
-    chosen = materialize(chosen, "quality-fit")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    chosen = materialize(chosen.groupBy("id", "good").agg(F.min("text").alias("text")), "quality-fit")
     n = {r["good"]: r["count"] for r in chosen.groupBy("good").count().collect()}
     bad, fine = n.get(0, 0), n.get(1, 0)
     words = chosen.mapInPandas(_word_counts, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = (F.col("bad") + F.col("good")) / float(max(1, bad + fine))
     z = (F.col("bad") - bad * share) / F.sqrt(bad * share * (1 - share) + 1e-9)
     telling = words.withColumn("z", z).where((F.col("bad") >= MIN_BAD) & (F.col("z") >= MIN_Z) & (F.col("bad") > 9 * F.col("good")))
-    telling = frozenset(r["word"].encode() for r in telling.orderBy(F.desc("z"), "word").limit(FIT_WORDS).collect())
+    telling = frozenset(r["word"].encode() for r in telling.collect())
 
     def measure(batches):
         for pdf in batches:
@@ -133,23 +137,40 @@ def _weight(mean: Column, parent: Column, n: Column) -> Column:
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """``_site, _path, shift``: the log odds that a path adds to a document's own.
+    """``_site, _path, _n, _s, _sn, _ss, _m, _sw, _pw, shift``: a row for each path.
 
     ``scored(_site, _path, _p)`` is summed by path first, so a site with a third of all documents
-    costs its few path rows. One-row tables are the only broadcasts asked for.
+    costs its few path rows: ``_n`` documents of a path and the sum ``_s`` of their probabilities,
+    ``_sn`` and ``_ss`` of its site, the overall mean ``_m``, and the weights of the site's and the
+    path's prior. ``shift`` is the log odds that the path adds to a document from elsewhere. One-row
+    tables are the only broadcasts asked for.
     """
-    paths = scored.groupBy("_site", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s"))
+    paths = scored.groupBy("_site", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum("_p").alias("_s"))
     paths = materialize(paths, "quality-paths")
-    sites = paths.groupBy("_site").agg(F.sum("n").alias("sn"), F.sum("s").alias("ss"))
-    overall = sites.agg((F.sum("ss") / F.sum("sn")).alias("m"))
+    sites = paths.groupBy("_site").agg(F.sum("_n").alias("_sn"), F.sum("_s").alias("_ss"))
+    overall = sites.agg((F.sum("_ss") / F.sum("_sn")).alias("_m"))
     sites = sites.crossJoin(F.broadcast(overall))
-    site_weight = sites.agg(_weight(F.col("ss") / F.col("sn"), F.col("m"), F.col("sn")).alias("sw"))
-    sites = sites.crossJoin(F.broadcast(site_weight)).select("_site", "m", ((F.col("ss") + F.col("sw") * F.col("m")) / (F.col("sn") + F.col("sw"))).alias("sm"))
-    joined = paths.join(sites, "_site")
-    path_weight = joined.agg(_weight(F.col("s") / F.col("n"), F.col("sm"), F.col("n")).alias("pw"))
-    mean = (F.col("s") + F.col("pw") * F.col("sm")) / (F.col("n") + F.col("pw"))
-    odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
-    return joined.crossJoin(F.broadcast(path_weight)).select("_site", "_path", (odds(mean) - odds(F.col("m"))).alias("shift"))
+    site_weight = sites.agg(_weight(F.col("_ss") / F.col("_sn"), F.col("_m"), F.col("_sn")).alias("_sw"))
+    joined = paths.join(sites.crossJoin(F.broadcast(site_weight)), "_site")
+    path_weight = joined.agg(_weight(F.col("_s") / F.col("_n"), _site_mean(), F.col("_n")).alias("_pw"))
+    names = ("_site", "_path", "_n", "_s", "_sn", "_ss", "_m", "_sw", "_pw")
+    return materialize(joined.crossJoin(F.broadcast(path_weight)).select(*names, _shift(F.lit(0), F.lit(0.0)).alias("shift")), "quality-posteriors")
+
+
+def _site_mean(n=0, p=0.0) -> Column:
+    """The site's posterior mean without n documents whose probabilities sum to p."""
+    return (F.col("_ss") - p + F.col("_sw") * F.col("_m")) / (F.col("_sn") - n + F.col("_sw"))
+
+
+def _shift(n: Column, p: Column) -> Column:
+    """Log odds of the path's posterior mean over the overall mean's, without n documents of sum p."""
+    mean = (F.col("_s") - p + F.col("_pw") * _site_mean(n, p)) / (F.col("_n") - n + F.col("_pw"))
+    odds = lambda x: F.log(F.greatest(x, F.lit(1e-6)) / F.greatest(1 - x, F.lit(1e-6)))
+    return odds(mean) - odds(F.col("_m"))
+
+
+def _sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
 
 
 def _evidence(model: Classifier):
@@ -162,52 +183,60 @@ def _evidence(model: Classifier):
     return evidence
 
 
-def _sited(docs: DataFrame, model: Classifier, site: str, path: str, mark: str) -> DataFrame:
-    return docs.withColumns(
-        {
-            mark + "e": _evidence(model)(F.col("text")),
-            mark + "s": F.coalesce(F.col(site).cast("string"), F.lit("")),
-            mark + "t": F.coalesce(F.col(path).cast("string"), F.lit("")),
-        }
-    )
+def _posteriors(rows: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The paths of ``rows(_site, _path, _e)``, to be broadcast if their measured size allows."""
+    found = site_posteriors(rows.select("_site", "_path", _sigmoid(F.col("_e")).alias("_p"))).drop("shift")
+    size = found.agg(F.sum(F.octet_length("_site") + F.octet_length("_path") + 80)).first()[0] or 0
+    return (F.broadcast(found), True) if size <= most else (found, False)
+
+
+def _judged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``_shift`` and ``_p_good`` to rows."""
+    joined = rows.join(found, ["_site", "_path"]).withColumn("_shift", _shift(F.lit(1), _sigmoid(F.col("_e"))))
+    return joined.withColumn("_p_good", _sigmoid(F.col("_e") + F.col("_shift")))
+
+
+def _named(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, site: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id, evidence, site_shift, p_good, keep``: one row for each row of ``docs``.
 
     ``site`` and ``path`` name the columns that say where a document comes from: its host, and the
-    section under it.
+    section under it. Texts are read for the fit's rows and once for all; only narrow rows go on.
 
     * null site or path: one like any other, named by the empty string. null or empty text: all
       features are 0, judged by the fit and the site. null doc_id: kept, never labelled.
     * labels that are null count for nothing; no labels at all: evidence 0, everything is kept.
-    * repeated rows are judged each; empty docs: no rows. Other columns are ignored.
+    * repeated rows are judged each; empty docs: no rows. Other columns are ignored. Very long texts
+      are judged whole.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     model = fit(docs, labels, fit_rows)
-    slim = docs.select("doc_id", "text", F.col(site).alias("_a"), F.col(path).alias("_b"))
-    scored = _sited(slim, model, "_a", "_b", "_").select("doc_id", F.col("_e").alias("evidence"), F.col("_s").alias("_site"), F.col("_t").alias("_path"))
-    scored = materialize(scored, "quality-scores")
-    shifts = site_posteriors(scored.withColumn("_p", 1 / (1 + F.exp(-F.col("evidence")))))
-    logit = F.col("evidence") + F.col("shift")
-    p = 1 / (1 + F.exp(-logit))
-    return scored.join(shifts, ["_site", "_path"]).select("doc_id", "evidence", F.col("shift").alias("site_shift"), p.alias("p_good"), (p >= threshold).alias("keep"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, site: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, all columns as they are."""
-    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", _named(site).alias("_site"), _named(path).alias("_path"), _evidence(model)(F.col("text")).alias("_e"))
+    rows = materialize(rows, "quality-scores")
+    judged = _judged(rows, _posteriors(rows)[0])
+    return judged.select("doc_id", F.col("_e").alias("evidence"), F.col("_shift").alias("site_shift"), F.col("_p_good").alias("p_good"), (F.col("_p_good") >= threshold).alias("keep"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, site: str = "source", path: str = "lang", fit_rows: int = FIT_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, all columns as they are; see there for odd rows.
+
+    Rows are written once with their evidence and a number, so the classifier runs once. With few
+    sites and paths the rows are filtered where they lie, else by the numbers of those that stay.
+    """
     model = fit(docs, labels, fit_rows)
-    mark = "_q_"
-    while any(c.startswith(mark) for c in docs.columns):
-        mark += "_"
-    scored = _sited(docs, model, site, path, mark)
-    slim = scored.select(F.col(mark + "s").alias("_site"), F.col(mark + "t").alias("_path"), (1 / (1 + F.exp(-F.col(mark + "e")))).alias("_p"))
-    shifts = site_posteriors(slim).toDF(mark + "site", mark + "path", mark + "shift")
-    match = (F.col(mark + "s") == F.col(mark + "site")) & (F.col(mark + "t") == F.col(mark + "path"))
-    p = 1 / (1 + F.exp(-(F.col(mark + "e") + F.col(mark + "shift"))))
-    return scored.join(shifts, match).where(p >= threshold).select(*[scored[c] for c in docs.columns])
+    whole = docs.select(
+        F.monotonically_increasing_id().alias("_rid"), _named(site).alias("_site"), _named(path).alias("_path"),
+        _evidence(model)(F.col("text")).alias("_e"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+    )
+    whole = materialize(whole, "quality-rows")
+    narrow = whole.select("_rid", "_site", "_path", "_e")
+    found, small = _posteriors(narrow, most)
+    if small:
+        return _judged(whole, found).where(F.col("_p_good") >= threshold).select("_row.*")
+    kept = _judged(narrow, found).where(F.col("_p_good") >= threshold)
+    return whole.join(kept.select("_rid"), "_rid", "left_semi").select("_row.*")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import keyed, scratch_path, small_batches, table, trimmed
+from .common import keyed, scratch_path, table, trimmed
 from .files import open_file, write_file
 
 MAGIC = b"TSRANS03"
@@ -203,7 +203,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     * empty table: no files. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     files = keyed(docs).orderBy("rid").mapInPandas(trimmed(_write_files(tokenizer, folder, end_id, file_ids)), FILES).collect()
     start, listed = 0, []
     for f in sorted(files, key=lambda f: f["first_rid"]):

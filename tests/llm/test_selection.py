@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -137,12 +138,52 @@ def test_leaks(spark):
     left = decontaminate.drop_leaks(documents(spark, docs), items(spark, bench))
     assert left.columns == documents(spark, docs).columns
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
-    many = decontaminate.indexes(items(spark, bench), shard_chars=2000)
-    assert len(many) > 3 and sum(len(i.ids) for i in many) == 62
+    assert {r["leak"] for r in got} == {"item"}
     assert decontaminate.find_leaks(documents(spark, docs), items(spark, [])).count() == 0
     assert decontaminate.find_leaks(documents(spark, []), items(spark, bench)).count() == 0
 
 
+def test_scores_of_any_number_of_indexes(spark, tmp_path):
+    """Weights, passages and so every figure are the same however many files hold the items."""
+    rng = random.Random(8)
+    word = lambda: f"v{int(rng.paretovariate(0.6)) % 900}"
+    text = lambda k: " ".join(word() for _ in range(k))
+    bench = [(i, f"{text(rng.randint(6, 140))}? {text(6)}.") for i in range(70)] + [(None, None), (71, "")]
+    docs = [(d, text(rng.randint(0, 500)) + "\n" + bench[rng.randrange(70)][1] + text(rng.randint(0, 300))) for d in range(60)]
+    found = []
+    for n, chars in ((1, 1 << 30), (2, 20_000), (7, 3_000)):
+        paths = decontaminate.write_indexes(items(spark, bench), f"file://{tmp_path}/{n}", chars)
+        assert len(paths) >= n
+        got = decontaminate.find_leaks(documents(spark, docs), items(spark, bench), shard_chars=chars).collect()
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["question_overlap"], r["leak"]) for r in got))
+        left = decontaminate.drop_leaks(documents(spark, docs), items(spark, bench), shard_chars=chars)
+        assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {r[0] for r in found[-1]}
+    assert len(found[0]) >= 60 and found[0] == found[1] == found[2]
+
+
+def test_long_items_and_texts():
+    """An item of 20,000 words, a text of half a million: bounded steps, and short items still found."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(words[i] for i in rng.integers(0, 3000, n))
+    long, short = text(20_000), text(30)
+    index = decontaminate.Index([(1, long)] + [(i, text(25)) for i in range(2, 400)])
+    tracemalloc.start()
+    ids = index.numbers(decontaminate.words_of(text(300) + " " + long))
+    assert any(index.hopeful(rows, 0.6).any() for rows in index.passages(ids))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    small = decontaminate.Index([(7, short)])
+    assert [m[0] for m in small.matches(text(250_000) + " " + short + " " + text(250_000))] == [7]
+
+
+def test_question_without_answer(spark):
+    bench = [(1, "one two three four five six seven eight? nine ten eleven twelve thirteen fourteen.")]
+    docs = [(1, "x one two three four five six seven eight y"), (2, "x " + bench[0][1]), (3, "nine ten eleven twelve thirteen fourteen")]
+    got = {r["doc_id"]: (r["leak"], r["question_overlap"], r["answer_overlap"]) for r in decontaminate.find_leaks(documents(spark, docs), items(spark, bench)).collect()}
+    assert got == {1: ("question", 1.0, 0.0), 2: ("item", 1.0, 1.0)}
+
+
 def test_question_only_leaks(spark):
     """Questions without their answers, whole, with a word edited, or in two far places."""
     bench = [(b["item_id"], b["text"]) for b in spark.read.parquet(f"{tables_dir('sf0.1')}/benchmark.parquet").collect()]
@@ -231,6 +272,75 @@ def test_quality_cases(spark):
     assert quality.score(docs.where("false"), labels).count() == 0 and quality.keep_good(docs.where("false"), labels).count() == 0
 
 
+def brute_posteriors(rows):
+    """For each row (site, path, p) the log odds that the other rows of its path and site add."""
+    sites, paths = {}, {}
+    for s, t, p in rows:
+        for at, k in ((sites, s), (paths, (s, t))):
+            n, total = at.get(k, (0, 0.0))
+            at[k] = n + 1, total + p
+    m = sum(x for _, x in sites.values()) / len(rows)
+
+    def weight(groups):
+        noise = sum(q * (1 - q) for _, _, q in groups)
+        spread = sum(n * (x / n - q) ** 2 for n, x, q in groups)
+        room = sum((n - 1) * q * (1 - q) for n, _, q in groups)
+        return min(max(room / (spread - noise) - 1, 5.0), 1000.0) if spread > noise else 1000.0
+
+    sw = weight([(n, x, m) for n, x in sites.values()])
+    site_mean = lambda s, n=0, p=0.0: (sites[s][1] - p + sw * m) / (sites[s][0] - n + sw)
+    pw = weight([(n, x, site_mean(s)) for (s, _), (n, x) in paths.items()])
+    odds = lambda x: np.log(max(x, 1e-6) / max(1 - x, 1e-6))
+    out = []
+    for s, t, p in rows:
+        n, x = paths[s, t]
+        out.append(odds((x - p + pw * site_mean(s, 1, p)) / (n - 1 + pw)) - odds(m))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    """p_good of every row: its own evidence and what others of its site and path say."""
+    rows = list(enumerate(texts(12, 120))) + ODD
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(len(t or "") % 3 > 0), 0) for i, t in rows[:80]], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    kept = [r.asDict() for r in docs.collect()]
+    evidence = [float(model.log_odds([r["text"]])[0]) for r in kept]
+    p = [1 / (1 + np.exp(-e)) for e in evidence]
+    shifts = brute_posteriors([(r["source"] or "", r["lang"] or "", x) for r, x in zip(kept, p)])
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0, round(e, 6), round(float(s), 6), e + s >= 0) for r, e, s in zip(kept, evidence, shifts))
+    got = quality.score(docs, labels).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["evidence"], 6), round(r["site_shift"], 6), r["keep"]) for r in got) == want
+    for most in (1 << 20, 0):  # paths broadcast, or not
+        left = quality.keep_good(docs, labels, most=most)
+        assert sorted(map(repr, left.collect())) == sorted(map(repr, quality.keep_good(docs, labels).collect()))
+        assert left.count() == sum(w[-1] for w in want)
+
+
+def test_query_against_brute_force(spark):
+    got = {r["doc_id"]: (r["evidence"], r["site_shift"], r["p_good"], r["keep"]) for r in quality.op2_quality(spark, tables_dir()).collect()}
+    docs, labels = (spark.read.parquet(f"{tables_dir()}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    rows = docs.collect()
+    evidence = [float(model.log_odds([r["text"]])[0]) for r in rows]
+    shifts = brute_posteriors([(r["source"] or "", r["lang"] or "", 1 / (1 + np.exp(-e))) for r, e in zip(rows, evidence)])
+    assert len(got) == len(rows)
+    for r, e, s in zip(rows, evidence, shifts):
+        assert got[r["doc_id"]][:3] == pytest.approx((e, s, 1 / (1 + np.exp(-e - s))), abs=1e-6) and got[r["doc_id"]][3] == (e + s >= 0)
+
+
+def test_fit_is_bounded(spark, monkeypatch):
+    """Repeated doc_ids make no more rows of the fit than were asked for."""
+    rows = [(i % 3, f"some words {i} here") for i in range(300)] + [(i, "other words") for i in range(3, 40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    sizes = []
+    start = quality.Classifier.__init__
+    monkeypatch.setattr(quality.Classifier, "__init__", lambda self, telling, x, y, ridge=1.0: (sizes.append(len(x)), start(self, telling, x, y, ridge))[1])
+    quality.fit(documents(spark, rows), labels, rows=3)
+    quality.fit(documents(spark, rows), labels)
+    assert sizes == [3, 40]
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.9)] * 400 + [("bad", "a", 0.1)] * 400 + [("new", "a", 0.1)]
     got = {r["_site"]: r["shift"] for r in quality.site_posteriors(spark.createDataFrame(rows, "_site string, _path string, _p double")).collect()}
