@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, url_filter
+from . import chat_format, jaccard_join, mixing, substring_dedup, suffix_dedup, url_filter
 from .chat_format import op7_chat_format
 from .decontaminate import op3_decontaminate
 from .jaccard_join import op5_jaccard_join
@@ -21,4 +21,7 @@ QUERIES = {
         op7_chat_format, op8_substring_dedup, op9_mixing, op10_token_output,
     )
 }
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE, "op7_chat_format": chat_format.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op1_url_filter": url_filter.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_suffix_array_dedup": suffix_dedup.ORACLE,
+    "op7_chat_format": chat_format.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op9_mixing": mixing.ORACLE,
+}
