@@ -74,7 +74,7 @@ def scan_limit(spark, sf_dir):
 
 
 @query(over("titles", "SELECT id, CAST(NULL AS VARCHAR) AS qc_leaf FROM titles"))
-def optional_source(spark, sf_dir):
+def missing_source(spark, sf_dir):
     qc = files.read_optional_jsonl(spark, shared_path(spark, "missing"), files.SCHEMAS["QC"], order="line_no")
     return R.add_query_leaf(view(spark, sf_dir, "titles"), R.query_leaf_map(qc)).select("id", "qc_leaf")
 
