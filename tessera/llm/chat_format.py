@@ -81,16 +81,19 @@ def preference_format(pairs: DataFrame, speaker: str = SPEAKER) -> DataFrame:
 def conversation_turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, turns``: each conversation's turns by (turn, role, text), nulls last in turn.
 
-    A null conv_id is one conversation like any other. Conversations are dealt by conv_id, so a
-    popular first turn or text puts nothing in one task.
+    Turns without a conv_id belong to nothing: each is a conversation of its own, so however many
+    there are, none is large. Equal turns stay. A conversation is one row, however long. Dealt by
+    conv_id, so a popular first turn or text puts nothing in one task. No turns: no rows; other
+    columns are ignored.
     """
     row = F.struct(
         F.col("turn").isNull().alias("late"), F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     return (
-        conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+        conversations.groupBy("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
         .withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+        .drop("_alone")
     )
 
 
@@ -116,20 +119,21 @@ def op7_chat_format(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i
-  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) AS c),
-reply AS (SELECT conv_id, i, text, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS back FROM t WHERE role = 'assistant'),
+  SELECT c, conv_id, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS LAST, role, text) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    CASE WHEN conv_id IS NULL THEN 'n' || row_number() OVER () ELSE 'c' || conv_id END AS c FROM conversations) AS c),
+reply AS (SELECT c, i, text, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS back FROM t WHERE role = 'assistant'),
 marked AS (
   SELECT t.*, a.i AS at, CASE WHEN t.i = a.i THEN coalesce(b.text, '') ELSE t.text END AS other
-  FROM t LEFT JOIN (SELECT * FROM reply WHERE back = 1) a USING (conv_id) LEFT JOIN (SELECT * FROM reply WHERE back = 2) b USING (conv_id)),
+  FROM t LEFT JOIN (SELECT * FROM reply WHERE back = 1) a USING (c) LEFT JOIN (SELECT * FROM reply WHERE back = 2) b USING (c)),
 parted AS (
-  SELECT *, coalesce(min(CASE WHEN text <> other THEN i END) OVER (PARTITION BY conv_id) - 1, count(*) OVER (PARTITION BY conv_id)) AS n_common FROM marked),
+  SELECT *, coalesce(min(CASE WHEN text <> other THEN i END) OVER (PARTITION BY c) - 1, count(*) OVER (PARTITION BY c)) AS n_common FROM marked),
 drawn AS (
   SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS b
   FROM parted),
 placed AS (
-  SELECT *, sum(CASE WHEN i > n_common THEN length(a) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS a_end,
-    sum(CASE WHEN i > n_common THEN length(b) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS b_end
+  SELECT *, sum(CASE WHEN i > n_common THEN length(a) ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS a_end,
+    sum(CASE WHEN i > n_common THEN length(b) ELSE 0 END) OVER (PARTITION BY c ORDER BY i) AS b_end
   FROM drawn)
 SELECT conv_id, n_common,
   coalesce(string_agg(CASE WHEN i <= n_common THEN a END, '' ORDER BY i), '') AS prompt,
@@ -137,5 +141,5 @@ SELECT conv_id, n_common,
   coalesce(string_agg(CASE WHEN i > n_common THEN b END, '' ORDER BY i), '') AS rejected_text,
   coalesce(string_agg(CASE WHEN i > n_common AND role = 'assistant' THEN (a_end - length(text) - 8)::BIGINT || '-' || (a_end - 1)::BIGINT END, ',' ORDER BY i), '') AS chosen_spans,
   coalesce(string_agg(CASE WHEN i > n_common AND role = 'assistant' THEN (b_end - length(other) - 8)::BIGINT || '-' || (b_end - 1)::BIGINT END, ',' ORDER BY i), '') AS rejected_spans
-FROM placed GROUP BY conv_id, n_common
+FROM placed GROUP BY c, conv_id, n_common
 """

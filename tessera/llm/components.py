@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import release
+
 from .common import materialize
 
 
@@ -31,7 +33,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         large = large.where("a > b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(low, large["a"] == low["k"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        found = materialize(small.select("e.a", "e.b").where("a > b").distinct(), name)
+        before, found = found, materialize(small.select("e.a", "e.b").where("a > b").distinct(), name)
+        release(before)
         now = _state(found)
         if now == state:
             break

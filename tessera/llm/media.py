@@ -32,8 +32,10 @@ MAGIC = b"TSARCH01"
 MANIFEST = "members.manifest"
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
-ARCHIVE_BYTES = 32 << 20
+#: An archive ends with its task, or at this size; ranges are longer where there would be too many.
+ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
+MOST_RANGES = 1 << 16
 BATCH_BYTES = 4 << 20
 RETRIES = 4
 SCHEMA = "id long, n_bytes long, media binary, archive string, offset long"
@@ -119,7 +121,7 @@ def write_archives(payloads: DataFrame, folder: str) -> None:
     """Store ``payloads(id, data)`` in archives of the folder, by the tasks that hold the rows.
 
     The manifest names the archives of tasks that ended well; what lost or doubled attempts wrote
-    is not read. One row for each archive reaches the driver.
+    is not read. One row for each archive reaches the driver: about one for each task.
     """
     rows = payloads.select("id", "data").mapInPandas(_write_archives(folder), "name string, size long, members long").collect()
     write_file(f"{folder}/{MANIFEST}", [json.dumps([[r["name"], r["size"]] for r in rows]).encode()])
@@ -142,7 +144,8 @@ class ArchiveReader(DataSourceReader):
         if any(name == MANIFEST for name, _ in list_files(self.folder, MANIFEST)):
             with open_file(f"{self.folder}/{MANIFEST}") as f:
                 found = [(n, s) for n, s in json.loads(f.read())]
-        return [ByteRange(f"{self.folder}/{n}", lo, min(lo + self.step, s)) for n, s in found for lo in range(0, s, self.step)] or [ByteRange("", 0, 0)]
+        step = max(self.step, sum(s for _, s in found) // MOST_RANGES)
+        return [ByteRange(f"{self.folder}/{n}", lo, min(lo + step, s)) for n, s in found for lo in range(0, s, step)] or [ByteRange("", 0, 0)]
 
     def member(self, path: str, offset: int, length: int, crc: int, reading=None) -> bytes:
         """One member by its offset; a failed or damaged read is tried again on a new handle."""
@@ -232,7 +235,8 @@ def stored_texts(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Store the texts of ``docs`` and give the features of what is read back, a row for each.
 
     * null text: as an empty one (64 zero bytes); a null doc_id stays null; equal rows are stored
-      each; empty table: no rows. Other columns are ignored.
+      each; empty table: no rows. Other columns are ignored. A very long text is one member, whole
+      in memory while it is written or read.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "media")

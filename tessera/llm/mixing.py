@@ -8,6 +8,8 @@ source yields differs from its target by the size of about one document.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,14 @@ from .common import WORD_PATTERN, materialize, running_sums, table
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 #: Expected copies are whole numbers of 1/UNIT, so that sums are exact and in any order the same.
-UNIT = 1 << 20
-#: Fixed multipliers of the offset's sequence.
-STEP, START = 2654435761, 40503
+UNIT = 1 << 40
+#: Offsets of neighbouring sources lie a golden section apart; the first one comes from the seed.
+STEP = 679_547_305_813
+SOURCES = 1 << 22
+
+
+def first_offset(seed: int) -> int:
+    return random.Random(seed).getrandbits(40)
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +57,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, s
     return (
         shared.withColumn("_level", level).withColumn("target", target)
         .withColumn("expected", F.floor(rate * UNIT + 0.5).cast("long"))
-        .select("source", "source_size", "target", "expected", F.pmod(F.col("rank").cast("long") * STEP + (START + seed), F.lit(UNIT)).alias("offset"))
+        .select("source", "source_size", "target", "expected", F.pmod(F.col("rank").cast("long") % SOURCES * STEP + first_offset(seed), F.lit(UNIT)).alias("offset"))
     )
 
 
@@ -67,16 +74,18 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: in
     sizes = materialize(rows, "mix-sizes")
     targets = materialize(source_targets(sizes, weights, most, seed), "mix-targets")
     expected = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
-        sizes["source"], "doc_id", "size", "tie", "source_size", "target", "expected", "offset"
+        sizes["source"], "doc_id", "size", "tie", "source_size", "target", "expected", "offset", F.lit(1).cast("long").alias("one")
     )
     order = [F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last(), "tie"]
-    summed = running_sums(expected, order, ["expected"], "mix-order")
-    starts = summed.groupBy(F.col("source").alias("s")).agg(F.min("before_expected").alias("start"))
-    at = F.col("before_expected") - F.col("start") + F.col("offset")
-    copies = F.floor((at + F.col("expected")) / UNIT) - F.floor(at / UNIT)
-    return summed.join(starts, F.col("source").eqNullSafe(F.col("s"))).select(
-        "source", "doc_id", "size", "tie", "source_size", "target", copies.cast("long").alias("copies")
-    )
+    summed = running_sums(expected, order, ["one"], "mix-order")
+    starts = summed.groupBy(F.col("source").alias("s")).agg(F.min("before_one").alias("start"))
+    placed = summed.join(starts, F.col("source").eqNullSafe(F.col("s")))
+    # A source's documents expect the same, so the sum before one is a product: exact as a decimal.
+    whole = lambda n: n.cast("decimal(19,0)") * F.col("expected").cast("decimal(18,0)") + F.col("offset").cast("decimal(18,0)")
+    crossed = lambda n: F.call_function("div", whole(n), F.lit(UNIT).cast("decimal(18,0)"))
+    rank = F.col("before_one") - F.col("start")
+    copies = crossed(rank + 1) - crossed(rank)
+    return placed.select("source", "doc_id", "size", "tie", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
@@ -86,7 +95,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 0
       are taken like any other of their source but add no words; a source of size 0 gives nothing.
     * A null doc_id sorts last; equal rows are sampled each for itself.
     * Empty table: no rows. Other columns pass through, whatever their names.
-    * Reruns agree: order, offsets and sums depend on the rows alone.
+    * Reruns agree: order, offsets and sums depend on the rows and the seed alone.
     """
     names = docs.columns
     prefix = "_mix_"
@@ -123,9 +132,9 @@ targets AS (
   SELECT source, source_size, rank,
     CASE WHEN level > filled THEN (source_size * 3)::DOUBLE ELSE weight * (SELECT arg_min(level, (filled, rank)) FROM levels WHERE NOT level > filled) END AS target
   FROM levels),
-expected AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 1048576 + 0.5)::BIGINT ELSE 0 END AS e, (rank * 2654435761 + 40503) % 1048576 AS shift FROM targets),
+expected AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * {UNIT} + 0.5)::BIGINT ELSE 0 END AS e, (rank * {STEP} + {OFFSET}) % {UNIT} AS shift FROM targets),
 placed AS (
-  SELECT s.*, x.source_size, x.target, x.e, row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) * x.e + shift AS upto
+  SELECT s.*, x.source_size, x.target, x.e, row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) * x.e::HUGEINT + shift AS upto
   FROM sizes s JOIN expected x ON s.source IS NOT DISTINCT FROM x.source)
-SELECT doc_id, size, source_size, target, ((upto // 1048576 - (upto - e) // 1048576) * size)::BIGINT AS taken FROM placed
-"""
+SELECT doc_id, size, source_size, target, ((upto // {UNIT} - (upto - e) // {UNIT}) * size)::BIGINT AS taken FROM placed
+""".replace("{UNIT}", str(UNIT)).replace("{STEP}", str(STEP)).replace("{OFFSET}", str(first_offset(0)))

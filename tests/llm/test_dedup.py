@@ -12,7 +12,7 @@ from tessera.llm import rolling as R
 from tessera.llm.substring_dedup import Words, op8_substring_dedup, remove_repeated_windows
 from tessera.llm.suffix_dedup import Bytes, difference_cover, equal_strings, op6_suffix_array_dedup, remove_repeated_strings
 from tests.conftest import tables_dir
-from tests.llm.cases import ODD, documents, ordered, texts
+from tests.llm.cases import ODD, documents, ordered, texts, thue_morse
 
 
 def brute(rows, units, length):
@@ -67,12 +67,6 @@ def test_strings(spark, rows):
     assert string_rows(remove_repeated_strings(documents(spark, rows))) == expected_strings(rows, 100)
 
 
-def thue_morse(n):
-    """Two different words of 2**n letters whose polynomial hashes modulo 2**64 are equal at any odd base."""
-    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
-    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
-
-
 def test_words_are_told_apart(spark):
     x, y = thue_morse(10)
     assert len(set(R.word_codes(f"{x} {y}".encode()).tolist())) == 2
