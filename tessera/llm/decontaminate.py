@@ -18,9 +18,11 @@ import pickle
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,7 @@ BLOCK_ITEMS, MAX_BLOCKS = 4, 64
 SHARD_CHARS = 8 << 20
 #: Numbers that one step of the bounds takes, and characters of documents that meet one index after
 #: the other.
-STEP = 4 << 20
+STEP = 1 << 18
 HELD_CHARS = 32 << 20
 
 _word = re.compile(r"\w+")
@@ -66,22 +68,24 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-def gram_codes(numbers: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the distinct runs of GRAM numbers."""
+def gram_codes(numbers: np.ndarray, none: int = -1) -> np.ndarray:
+    """64-bit hashes of the distinct runs of GRAM numbers, but for those with ``none`` in them."""
     if len(numbers) < GRAM:
         return np.zeros(0, np.uint64)
-    codes = np.zeros(len(numbers) - GRAM + 1, np.uint64)
+    known = np.convolve(numbers != none, np.ones(GRAM, np.int64), "valid")
+    at = np.flatnonzero(known == GRAM)
+    codes = np.zeros(len(at), np.uint64)
     for i in range(GRAM):
-        codes = mix(codes ^ numbers[i : i + len(codes)].astype(np.uint64)) + np.uint64(i)
+        codes = mix(codes ^ numbers[at + i].astype(np.uint64)) + np.uint64(i)
     return np.unique(codes)
 
 
 @dataclass
 class Posting:
-    items: np.ndarray  # rising item numbers
-    impacts: np.ndarray
+    items: list[int]  # rising item numbers
+    impacts: list[float]
     top: float  # the largest impact
-    tops: np.ndarray  # the largest impact in each item block
+    tops: list[float]  # the largest impact in each item block
 
 
 @dataclass
@@ -136,7 +140,7 @@ class Index:
             share = impact / own[nos]
             tops = np.zeros(max(1, self.blocks))
             np.maximum.at(tops, nos // self.block_items, share)
-            self.postings.append(Posting(nos, share, float(share.max()), tops))
+            self.postings.append(Posting(nos.tolist(), share.tolist(), float(share.max()), tops.tolist()))
             self.bounds[i] = tops
         codes = [gram_codes(self.numbers(q)) for q, _ in self.parts]
         self.gram_counts = np.array([len(c) for c in codes], np.int64)
@@ -147,7 +151,7 @@ class Index:
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words' term numbers; words of no item have the number after the last."""
         none = len(self.terms)
-        return np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.terms.get, words, repeat(none)), np.int64, len(words))
 
     def passages(self, ids: np.ndarray) -> Iterator[np.ndarray]:
         """Term numbers of overlapping passages, a row each, every term once; the rest is no term.
@@ -157,7 +161,7 @@ class Index:
         none, size = len(self.terms), self.size
         step = size // 2
         count = max(1, -(-(len(ids) - size) // step) + 1) if len(ids) > size else 1
-        together = max(1, STEP // 16 // size)
+        together = max(1, STEP // size)
         for lo in range(0, count, together):
             n = min(together, count - lo)
             padded = np.full((n - 1) * step + size, none)
@@ -171,9 +175,12 @@ class Index:
         """Which passages have a block whose bound reaches the threshold (block maxima, summed)."""
         out = np.zeros(len(rows), bool)
         wide = max(1, STEP // self.bounds.shape[1])  # terms in one step
-        for lo in range(0, len(rows), max(1, wide // rows.shape[1])):
-            part = rows[lo : lo + max(1, wide // rows.shape[1])]
-            total = sum(self.bounds[part[:, at : at + wide]].sum(1) for at in range(0, part.shape[1], wide))
+        together = max(1, wide // rows.shape[1])
+        for lo in range(0, len(rows), together):
+            part = rows[lo : lo + together]
+            total = self.bounds[part[:, :wide]].sum(1)
+            for at in range(wide, part.shape[1], wide):
+                total += self.bounds[part[:, at : at + wide]].sum(1)
             out[lo : lo + len(part)] = (total >= threshold - 1e-4).any(1)
         return out
 
@@ -181,7 +188,7 @@ class Index:
         """Every item whose score for the terms reaches the threshold, by block-max WAND."""
         found: dict[int, float] = {}
         slack = threshold - 1e-9
-        cursors = [[int(p.items[0]), 0, p] for p in (self.postings[t] for t in terms)]
+        cursors = [[p.items[0], 0, p] for p in (self.postings[t] for t in terms)]
         while cursors:
             cursors.sort(key=lambda c: c[0])
             total, pivot = 0.0, -1
@@ -202,7 +209,7 @@ class Index:
                 if pivot + 1 < len(cursors):
                     target = min(target, max(cursors[pivot + 1][0], item + 1))
             elif cursors[0][0] == item:
-                score = sum(float(c[2].impacts[c[1]]) for c in cursors[: pivot + 1])
+                score = sum(c[2].impacts[c[1]] for c in cursors[: pivot + 1])
                 if score >= slack:
                     found[item] = score
                 target = item + 1
@@ -211,17 +218,19 @@ class Index:
             alive = []
             for i, c in enumerate(cursors):
                 if i <= pivot and c[0] < target:
-                    c[1] = int(np.searchsorted(c[2].items, target))
+                    c[1] = bisect_left(c[2].items, target, c[1])
                     if c[1] >= len(c[2].items):
                         continue
-                    c[0] = int(c[2].items[c[1]])
+                    c[0] = c[2].items[c[1]]
                 alive.append(c)
             cursors = alive
         return found
 
     def asked(self, ids: np.ndarray, overlap: float) -> list[int]:
         """Items whose question has ``overlap`` of its n-grams anywhere in the text, GRAM words or more."""
-        codes = gram_codes(ids)
+        codes = gram_codes(ids, len(self.terms))
+        if not len(codes):
+            return []
         lo = np.searchsorted(self.gram_codes, codes)
         hits = self.gram_codes[np.minimum(lo, len(self.gram_codes) - 1)] == codes if len(self.gram_codes) else np.zeros(len(codes), bool)
         if not hits.any():
@@ -235,7 +244,7 @@ class Index:
         weights = np.zeros(len(self.terms) + 1)
         for t in {self.terms[w] for part in self.parts[n] for w in part}:
             p = self.postings[t]
-            weights[t] = p.impacts[np.searchsorted(p.items, n)]
+            weights[t] = p.impacts[bisect_left(p.items, n)]
         return max(float(weights[rows].sum(1).max()) for rows in self.passages(ids))
 
     def matches(self, text: str | None, retrieve: float = RETRIEVE, overlap: float = OVERLAP) -> list[tuple]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, jaccard_join, quality
 from tessera.llm.components import connected_components
 from tests.conftest import tables_dir
-from tests.llm.cases import ODD, documents, ordered, texts
+from tests.llm.cases import ODD, documents, ordered, texts, thue_morse
 
 
 def brute_join(rows, threshold=0.8, gram=5):
@@ -67,6 +67,65 @@ def test_join_table(spark):
     assert got == {rows[i][0]: (rows[roots[i]][0], links[i]) for i in range(len(rows))}
 
 
+def test_boilerplate_chains(spark):
+    """A chain of documents, each half its neighbour's, is no class; small groups within it are."""
+    rng = random.Random(6)
+    piece = lambda: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(60))
+    pieces = [piece() for _ in range(161)]
+    rows = [f"{pieces[i]} {pieces[i + 1]}" for i in range(160)]
+    common = piece()
+    rows += [f"{common} {piece()}" for _ in range(40)]  # boilerplate of a half
+    rows += [rows[i] + " a few more words" for i in range(0, 160, 20)]
+    rows = list(enumerate(rows))
+    roots, links = brute_join(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(documents(spark, rows), block=16).collect()}
+    assert got == {i: (roots[i], links[i]) for i in range(len(rows))} and sum(links) == 16
+
+
+def test_sketches_part_chains():
+    """Sketches join no pair of a chain of halves or of sixty in a hundred, and every pair at the threshold."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    for n in (40, 120, 300, 2000):
+        met = {}
+        for j in (0.33, 0.8):
+            met[j] = 0
+            for _ in range(200):
+                own = round(n * 2 * j / (1 + j) + 0.5)
+                both, a, b = draw(own), draw(n - own), draw(n - own)
+                sets = [np.unique(np.concatenate([both, x])) for x in (a, b)]
+                sketches = [np.unique((np.sort(jaccard_join.R.mix(s))[: jaccard_join.SKETCH] >> np.uint64(32)).astype(np.uint32)) for s in sets]
+                met[j] += jaccard_join._alike(sketches, np.array([len(s) for s in sets]), 0.8)[1] == 0
+        assert met == {0.33: 0, 0.8: 200}, n
+
+
+@pytest.mark.parametrize("n", [12, 60, 250, 1500])
+def test_recall_at_sizes(n):
+    """Pairs at the threshold, equal in size, meet in a leaf whatever their size."""
+    rng = np.random.default_rng(n)
+    runs, met = jaccard_join.runs_for(), 0
+    for _ in range(400):
+        own = -(-n * 16 // 18)
+        tokens = rng.integers(0, 2**63, 2 * n - own, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        a, b = np.sort(tokens[:n]), np.sort(np.concatenate([tokens[:own], tokens[n:]]))
+        met += bool(set(jaccard_join.leaves(a, 0.8, 4, runs)) & set(jaccard_join.leaves(b, 0.8, 4, runs)))
+    assert met >= 396
+
+
+def test_words_of_one_polynomial_hash(spark):
+    x, y = thue_morse(10)
+    rows = [(1, f"{x} one two three four"), (2, f"{y} one two three four"), (3, x), (4, y)]
+    assert {r["n_links"] for r in jaccard_join.jaccard_join(documents(spark, rows)).collect()} == {0}
+
+
+def test_join_of_long_texts(spark):
+    """Texts of a hundred thousand words, one a near copy of the other."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(100_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3000])), (3, " ".join(words[::-1])), (4, "w1 w2")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(documents(spark, rows)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_recall_of_paths():
     """Pairs just over the threshold share a leaf about as often as planned."""
     rng = np.random.default_rng(0)
@@ -220,7 +279,7 @@ def test_wand_is_exact():
         scores = {}
         for t in terms:
             p = index.postings[t]
-            for n, s in zip(p.items.tolist(), p.impacts.tolist()):
+            for n, s in zip(p.items, p.impacts):
                 scores[n] = scores.get(n, 0.0) + s
         threshold = rng.choice([0.1, 0.3, 0.6, 0.9])
         want = {n: s for n, s in scores.items() if s >= threshold - 1e-9}
@@ -341,26 +400,90 @@ def test_fit_is_bounded(spark, monkeypatch):
     assert sizes == [3, 40]
 
 
+def test_quality_of_long_texts(spark):
+    rows = [(i, "fine words in a plain line of text. " * (20_000 if i == 1 else 3) if i % 3 else "$$ ### @@@ %%% ^^ $$$ " * (20_000 if i == 3 else 3)) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"]: r["keep"] for r in quality.score(documents(spark, rows), labels).collect()} == {i: bool(i % 3) for i in range(90)}
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.9)] * 400 + [("bad", "a", 0.1)] * 400 + [("new", "a", 0.1)]
     got = {r["_site"]: r["shift"] for r in quality.site_posteriors(spark.createDataFrame(rows, "_site string, _path string, _p double")).collect()}
     assert got["bad"] < got["new"] < got["big"]
 
 
-def test_pipeline(spark):
+def brute_pipeline(spark, folder):
+    """The rows of every stage by plain Python, but for the classifier and the sampling, which are tested by themselves."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.mixing import plan_mix
+    from tessera.llm.token_output import default_tokenizer
+
+    docs, labels, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    rows = [r.asDict() for r in docs.collect()]
+    model = quality.fit(docs, labels)
+    evidence = [float(model.log_odds([r["text"]])[0]) for r in rows]
+    shifts = brute_posteriors([(r["source"] or "", r["lang"] or "", 1 / (1 + np.exp(-e))) for r, e in zip(rows, evidence)]) if rows else []
+    rows = [r for r, e, s in zip(rows, evidence, shifts) if e + s >= 0]
+    sizes = [len(rows)]
+    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").encode()))
+    roots, _ = brute_join([(r["doc_id"], r["text"]) for r in rows])
+    rows = [r for i, r in enumerate(rows) if roots[i] == i]
+    sizes.append(len(rows))
+    questions = [decontaminate.grams(decontaminate.question_and_answer(b["text"])[0]) for b in bench.collect()]
+    questions = [q for q in questions if q and len(next(iter(q))) == 5]
+    have = [decontaminate.grams(decontaminate.words_of(r["text"])) for r in rows]
+    rows = [r for r, h in zip(rows, have) if not any(len(q & h) >= 0.8 * len(q) - 1e-9 for q in questions)]
+    sizes.append(len(rows))
+    left = spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)
+    copies = sorted((p["doc_id"] is None, p["doc_id"] or 0, p["copies"], p["size"]) for p in plan_mix(left).collect())
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r["text"] or "")
+    plain, out, start = Tokenizer.from_file(default_tokenizer()), [], 0
+    for none, i, n, size in copies:
+        i = None if none else i
+        assert len(set(by_id[i])) == 1  # the tables below have no two texts left of one id
+        for _ in range(n):
+            ids = np.array([*plain.encode(by_id[i][0], add_special_tokens=False).ids, 2], "<u4")
+            out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+    return sizes, out
+
+
+def small_tables(spark, folder, rows):
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    marks = [(i, 1, 0) for i, _ in rows if i is not None] + [(None, 0, 0), (3, None, None)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    bench = [(1, rows[5][1] if len(rows) > 5 else "a b c d e f g. h."), (2, None), (None, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("case", ["tables", "odd", "empty"])
+def test_pipeline(spark, case, tmp_path):
+    """The rows of every stage, and the ids at the end, as plain Python gives them."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{tables_dir()}/documents.parquet")
-    columns, kept = docs.columns, docs
-    counts = [docs.count()]
+    rows = [] if case == "empty" else [(i, t) for i, t in enumerate(texts(2, 40)) if i != 6] + [(None, "a b c d e f g " * 9), (0, None), (8, ""), (40, None)]
+    folder = tables_dir() if case == "tables" else small_tables(spark, tmp_path / "t", rows)
+    if case == "odd":  # a null text and an empty one share an id with another text: give them their own
+        rows = [(i + 1000 if t in (None, "") and i is not None else i, t) for i, t in rows]
+        folder = small_tables(spark, tmp_path / "u", [*dict.fromkeys(rows), rows[9], rows[9]])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, kept, counts = docs.columns, docs, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, tables_dir()).cache()
+        kept = stage(spark, kept, folder).cache()
         assert kept.columns == columns, name
         counts.append(kept.count())
-    assert counts[0] > counts[1] > counts[2] > counts[3] > 0
-    out = corpus_pipeline.run(spark, tables_dir())
+    out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert out.count() == counts[4]
+    sizes, want = brute_pipeline(spark, folder)
+    assert counts[:3] == sizes
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want and counts[3] == len(want)
+    assert case == "empty" or counts[0] > counts[1] > counts[2] > 0
 
 
 def test_the_rest_stands_alone():
@@ -370,7 +493,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == 'tessera.llm' or name == 'corpus_pipeline':
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 import tessera.cli, tessera.models, tessera.streaming.stateless
