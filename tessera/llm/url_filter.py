@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains, and paths that start with its.
 RULES = (
@@ -22,6 +22,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+# Public suffixes of two labels that are common; others are a parameter.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx",
+    "co.in", "co.kr", "co.za", "com.tr", "com.tw", "com.ar",
+)
 FLOOR = 0.5
 Z = 2.0
 #: Bounds of a prior in labels: one label is counted at every level and must not convict a host.
@@ -89,27 +94,28 @@ def _level(groups: DataFrame, key: str, parents: DataFrame, parent_key: str | No
     return joined.crossJoin(F.broadcast(weight)).withColumn("mean", (F.col("good") + F.col("w") * F.col("parent")) / (F.col("n") + F.col("w")))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: tuple = ()) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: tuple = SUFFIXES) -> DataFrame:
     """``host, n, good, mean, upper`` from ``outcomes(host, good 0/1 or null)``.
 
     Hosts without labels get their domain's mean with the prior's own width. One-row tables (the
-    global rate, a weight) are the only explicit broadcasts.
+    global rate, a weight) are the only explicit broadcasts. Each level is written once, as the next
+    one reads it twice.
     """
-    hosts = (
+    hosts = materialize((
         outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
         .withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    overall = suffixes.agg(F.coalesce((F.sum("good") + 1.0) / (F.sum("n") + 2.0), F.lit(0.5)).alias("parent"))
-    s = _level(suffixes, "suffix", overall, None).select("suffix", F.col("mean").alias("parent"))
-    d = _level(domains, "domain", s, "suffix").select("domain", F.col("mean").alias("parent"))
+    ), "hosts")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "domains")
+    ends = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffixes")
+    overall = ends.agg(F.coalesce((F.sum("good") + 1.0) / (F.sum("n") + 2.0), F.lit(0.5)).alias("parent"))
+    s = materialize(_level(ends, "suffix", overall, None).select("suffix", F.col("mean").alias("parent")), "suffix-means")
+    d = materialize(_level(domains, "domain", s, "suffix").select("domain", F.col("mean").alias("parent")), "domain-means")
     h = _level(hosts, "host", d, "domain")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("w") + 1))
     return h.select("host", "n", "good", "mean", (F.col("mean") + z * sd).alias("upper"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, floor: float = FLOOR, z: float = Z, suffixes: tuple = ()) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, floor: float = FLOOR, z: float = Z, suffixes: tuple = SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict, n, mean, upper`` for each row of ``pages(page_id, url)``.
 
     ``labels(doc_id, quality, toxic)`` are outcomes: good is quality 1 and not toxic; a label with
@@ -149,10 +155,10 @@ WITH judged AS (
   FROM pages),
 marks AS (SELECT doc_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE quality IS NOT NULL),
 hosts AS (
-  SELECT host, split_part(host, '.', -1) AS suffix,
-    CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain,
+  SELECT host, CASE WHEN l[-2:] IN {SUFFIXES} THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS suffix,
+    array_to_string(CASE WHEN l[-2:] IN {SUFFIXES} THEN l[-3:] ELSE l[-2:] END, '.') AS domain,
     count(good) AS n, coalesce(sum(good), 0) AS good
-  FROM judged LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2, 3),
+  FROM (SELECT *, string_split(host, '.') AS l FROM judged) AS j LEFT JOIN marks ON page_id = doc_id GROUP BY 1, 2, 3),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY 1),
 overall AS (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) AS parent FROM suffixes),
@@ -174,4 +180,4 @@ SELECT page_id, j.host, j.path, f.rule,
   coalesce(f.what, CASE WHEN mean + 2.0 * sqrt(mean * (1 - mean) / (weight + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
   round(mean, 6) AS host_mean
 FROM judged j LEFT JOIN fits f ON j.host = f.host AND j.path = f.path LEFT JOIN h ON j.host = h.host
-"""
+""".replace("{SUFFIXES}", "(" + ", ".join(f"[{x}]" for x in (", ".join(f"'{w}'" for w in s.split(".")) for s in SUFFIXES)) + ")")

@@ -1,6 +1,8 @@
 """Token files, rANS, archives, formatting, mixing and URL rules."""
 
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,9 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, media, rans, token_output, url_filter
+from tessera.llm import chat_format, media, mixing, rans, token_output, url_filter
 from tessera.llm.files import open_file
 from tessera.llm.mixing import mix, plan_mix
+from tests.conftest import tables_dir
 from tests.llm.cases import ODD, documents, ordered, texts
 
 
@@ -69,6 +72,43 @@ def test_tokens(spark, rows):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_long_text_tokens(spark):
+    """A text of more ids than a file, and than a reading task's share, between short ones."""
+    long = " ".join(f"{w}{i % 97}" for i in range(60_000) for w in ("alpha", "beta"))
+    rows = [(1, "a"), (2, long), (3, None), (4, "b c")]
+    got = sorted(map(tuple, token_output.tokenized(documents(spark, rows)).collect()))
+    coder, start = token_output.WordCoder(token_output.default_tokenizer()), 0
+    for (i, t), g in zip(rows, got):
+        ids = np.append(np.frombuffer(coder.whole(t or ""), np.uint32), np.uint32(2)).astype("<u4")
+        assert g == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    files = token_output.write_tokens(documents(spark, rows), token_output.scratch_path(spark, "t"), token_output.default_tokenizer(), file_ids=1000)
+    parts = token_output.read_tokens(files, digest=True).collect()
+    assert sorted(map(tuple, parts)) == got
+
+
+def test_token_query(spark):
+    from tokenizers import Tokenizer
+
+    plain, start = Tokenizer.from_file(token_output.default_tokenizer()), 0
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_output.op10_token_output(spark, tables_dir()).collect()}
+    for r in spark.read.parquet(f"{tables_dir()}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got.pop(r["doc_id"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert not got
+
+
+def test_every_added_string():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_output.default_tokenizer())
+    coder = token_output.WordCoder(token_output.default_tokenizer())
+    for token in plain.get_added_tokens_decoder().values():
+        for t in (token.content, f"a {token.content} b", f"a{token.content}b\nc", token.content * 2, token.content[:-1]):
+            assert np.frombuffer(coder.encode(t), np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_damaged_block(spark, tmp_path):
     files = token_output.write_tokens(documents(spark), f"file://{tmp_path}/t", token_output.default_tokenizer(), file_ids=3000)
     listed = files.collect()
@@ -88,15 +128,31 @@ def test_damaged_block(spark, tmp_path):
         token_output.decode_range(f, footer, table, 0, sum(footer["ids"]))
 
 
-@pytest.mark.parametrize("rows", [list(enumerate(texts(7))), ODD, []], ids=["random", "odd", "empty"])
+def brute_media(i, t):
+    """All columns of a stored text, the image and its feature made by other means."""
+    data = (t or "").encode()
+    payload = data + b"\0" * (64 if not data else -len(data) % 64)
+    piece = lambda k, body: len(body).to_bytes(4, "big") + k + body + zlib.crc32(k + body).to_bytes(4, "big")
+    lines = b"".join(b"\0" + payload[a : a + 64] for a in range(0, len(payload), 64))
+    size = b"\0\0\0\x40" + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    image = b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", size) + piece(b"IDAT", zlib.compress(lines, 3)) + piece(b"IEND", b"")
+    counts = Counter(payload)
+    shares = [sum(n for b, n in counts.items() if b // 32 == k) / len(payload) for k in range(8)]
+    bits = sum(-n / len(payload) * math.log2(n / len(payload)) for n in counts.values())
+    about = f"rows={len(payload) // 64};mean={sum(payload) / len(payload):.4f};bits={bits + 0.0:.4f};shares=" + ",".join(f"{x:.4f}" for x in shares)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return i, len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(image), sha(image), about
+
+
+@pytest.mark.parametrize("rows", [list(enumerate(texts(7))), ODD, [], [(1, "long é " * 400_000), (2, "b")]], ids=["random", "odd", "empty", "long"])
 def test_media(spark, rows):
-    got = sorted((tuple(r)[:5] for r in media.stored_texts(documents(spark, rows)).collect()), key=repr)
-    want = []
-    for i, t in rows:
-        data = (t or "").encode()
-        payload = media.pad(data)
-        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    assert got == sorted(want, key=repr)
+    got = sorted((tuple(r) for r in media.stored_texts(documents(spark, rows)).collect()), key=repr)
+    assert got == sorted((brute_media(i, t) for i, t in rows), key=repr)
+
+
+def test_media_query(spark):
+    docs = spark.read.parquet(f"{tables_dir()}/documents.parquet").collect()
+    assert {tuple(r) for r in media.op4_media_columns(spark, tables_dir()).collect()} == {brute_media(r["doc_id"], r["text"]) for r in docs}
 
 
 def test_padding_and_image():
@@ -184,6 +240,26 @@ def test_mix(spark, rows):
     assert again == sorted(map(tuple, plan), key=repr)
 
 
+def test_small_rates(spark):
+    """A source of a millionth of its weight's share still gives its target."""
+    rows = [(i, "w " * 50) for i in range(4000)] + [(10_000, "a b c")]
+    docs = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") < 4000, F.lit("z")).otherwise(F.lit("a")))
+    for big, seed in ((1e5, 0), (1e7, 1), (1e7, 2)):
+        plan = plan_mix(docs, weights=(big, 1.0), seed=seed).groupBy("source").agg(F.first("target"), F.sum(F.col("size") * F.col("copies")), F.max("copies")).collect()
+        for _, target, taken, most in plan:
+            assert abs(taken - target) <= 50 and most <= 3
+    exact = mixing.source_targets(docs.select("source", F.lit(50).alias("size")), weights=(3.0, 1e-6)).where("source = 'z'").first()
+    assert exact["expected"] / mixing.UNIT == pytest.approx(exact["target"] / exact["source_size"], rel=1e-4) and exact["expected"] > 0
+
+
+def test_seeds_differ(spark):
+    docs = documents(spark, list(enumerate(texts(8, 300)))).cache()
+    plans = {tuple(sorted((r["doc_id"], r["copies"]) for r in plan_mix(docs, seed=s).collect())) for s in range(4)}
+    assert len(plans) > 1
+    long = documents(spark, [(1, "word " * 300_000), (2, "a b"), (3, None)])
+    assert {r["doc_id"]: r["size"] for r in plan_mix(long).collect()} == {1: 300_000, 2: 2, 3: 0}
+
+
 def test_mix_nothing(spark):
     empty = documents(spark, [(1, "a")]).where("doc_id = 0")
     assert plan_mix(empty).count() == 0 and mix(empty).count() == 0
@@ -220,6 +296,24 @@ def test_conversations(spark):
     assert set(got) == {1, 2, None}
 
 
+def test_long_and_lone_conversations(spark):
+    """A conversation of many turns is one row; turns without a conversation are one each."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(5000)] + [(None, 0, "user", "q")] * 300 + [(2, 0, "user", "x" * 10**6)]
+    random.Random(0).shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("z"))
+    got = chat_format.preference_format(chat_format.last_reply_pairs(chat_format.conversation_turns(df))).collect()
+    assert Counter(r["conv_id"] for r in got) == {1: 1, None: 300, 2: 1}
+    one = next(r for r in got if r["conv_id"] == 1)
+    assert one["n_common"] == 4999 and one["chosen_text"] == "<|assistant|>\nt4999<|end|>\n" and one["rejected_text"] == "<|assistant|>\nt4997<|end|>\n"
+    assert chat_format.preference_format(chat_format.last_reply_pairs(chat_format.conversation_turns(df.where("false")))).count() == 0
+
+
+def test_very_long_urls(spark):
+    url = "http://" + "a." * 30_000 + "com/en/" + "x" * 100_000
+    got = judge(spark, [url, "http://b.co.uk/"])
+    assert got[0]["host"] == "a." * 30_000 + "com" and got[0]["verdict"] == "block" and got[1]["verdict"] == "allow"
+
+
 def judge(spark, urls, labels=()):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x"))
     marks = spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int")
@@ -258,7 +352,8 @@ def test_long_suffixes(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     marks = spark.createDataFrame([(i, int(i >= 80), 0) for i in range(160)], "doc_id long, quality int, toxic int")
     mean = lambda **k: {r["page_id"]: r["mean"] for r in url_filter.filter_urls(pages, marks, **k).where("page_id >= 160").collect()}
-    alike, apart = mean(), mean(suffixes=("co.uk", "com.au"))
+    alike, apart = mean(suffixes=()), mean(suffixes=("co.uk", "com.au"))
+    assert mean() == apart
     assert alike[160] == alike[161] and apart[160] < 0.3 and apart[161] > 0.7
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("uk",), ("a.xco.uk",), ("a.b.com",), ("",)], "host string")
     got = [tuple(r) for r in hosts.select(url_filter.domain_of(F.col("host"), ("co.uk",)), url_filter.suffix_of(F.col("host"), ("co.uk",))).collect()]
