@@ -48,8 +48,13 @@ def _underscored(c: Column) -> Column:
 
 
 def extract_brand(title: Column) -> Column:
-    low = F.lower(title)
-    listed = [F.when(low.rlike(rf"(?U)\b{re.escape(b)}\b"), F.lit(b.replace(" ", "_"))) for b in brand_order()]
+    """The first name of ``brand_order`` that stands in the title, else what a hint names.
+
+    One pass finds all names: no two of them share a word, so no match hides another.
+    """
+    names = rf"(?U)\b(?:{'|'.join(map(re.escape, brand_order()))})\b"
+    found = F.regexp_extract_all(F.lower(title), F.lit(names), F.lit(0))
+    listed = [_underscored(F.get(F.array_intersect(F.array(*map(F.lit, brand_order())), found), F.lit(0)))]
     hinted = [_underscored(F.lower(ustrip(falsy(F.regexp_extract(title, _FLAGS + p, 1))))) for p in BRAND_HINTS]
     return F.coalesce(*listed, *hinted)
 

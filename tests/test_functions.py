@@ -60,7 +60,7 @@ def test_line_value(spark):
         (A.extract_color, "Soak", "oak"), (A.extract_color, "Nuclear", "clear"), (A.extract_size, "Men's shirt 30x40cm", "s"),
         (A.extract_size, "30 x 40 cm mat", "30 x 40 cm"), (A.extract_size, "1/64 kg", "1/64 kg"), (A.extract_size, "3 inches", None),
         (A.extract_size, "I'm 10.5 inch", "m"), (A.extract_category, "Automatic model kits", "mat"), (A.extract_category, "Big Table", "table"),
-        (A.extract_category, "Coffee Table Set", "coffee_table_set"), (A.extract_brand, "GOOD SMILE x figma", "good_smile"),
+        (A.extract_category, "Coffee Table Set", "coffee_table_set"), (A.extract_brand, "GOOD SMILE x figma", "good_smile"), (A.extract_brand, "lego bandai Hot Wheels", "hot_wheels"), (A.extract_brand, "tomica legos neca", "tomica"),
         (A.extract_brand, "lamp by Acme-Co now", "acme-co"), (A.extract_brand, "Brand: Foo_1", "foo_1"), (A.extract_brand, "plain", None),
         (A.extract_material, "PU Leather sofa", "pu leather"), (A.extract_material, "metallic", "metal"),
     ],
