@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import keyed, scratch_path, table, trimmed
+from .common import keyed, materialize, running_sums, scratch_path, table, trimmed
 from .files import open_file, write_file
 
 MAGIC = b"TSRANS03"
@@ -195,20 +195,16 @@ def _write_files(tokenizer: str, folder: str, end_id: int, file_ids: int):
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode all texts and write the files; returns their list.
 
-    The list (``path, first_rid, n_docs, n_ids, n_bytes, start``) has a row for each file, in
-    order, from tasks that ended well: what a lost or doubled attempt wrote isn't in it. A file
-    has about ``file_ids`` ids, so the list is short against the texts.
+    The list (``path, first_rid, n_docs, n_ids, n_bytes, start``) has a row for each file, from
+    tasks that ended well: what a lost or doubled attempt wrote isn't in it. It is a table in the
+    shared folder; the driver sees sums of its parts.
 
     * null text: only the end id. null doc_id comes last; equal doc_ids in order of their texts.
     * empty table: no files. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    files = keyed(docs).orderBy("rid").mapInPandas(trimmed(_write_files(tokenizer, folder, end_id, file_ids)), FILES).collect()
-    start, listed = 0, []
-    for f in sorted(files, key=lambda f: f["first_rid"]):
-        listed.append((*f, start))
-        start += f["n_ids"]
-    return spark.createDataFrame(listed, f"{FILES}, start long")
+    files = materialize(keyed(docs).orderBy("rid").mapInPandas(trimmed(_write_files(tokenizer, folder, end_id, file_ids)), FILES), "token-files")
+    placed = running_sums(files, ["first_rid"], ["n_ids"], "token-starts")
+    return placed.select(*files.columns, F.col("before_n_ids").alias("start"))
 
 
 def read_footer(f) -> dict:
