@@ -67,7 +67,8 @@ def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
     if (n or 0) == seen == distinct:
         # The filter holds for all rows; said here, every join sees one and the same exchange.
         return slim.where("doc_id is not null").select(F.col("doc_id").alias("rid"), *names)
-    ordered = slim.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text"))
+    # The last key only spreads rows that are equal otherwise over several ranges.
+    ordered = slim.orderBy(F.col("doc_id").asc_nulls_last(), F.col("text"), F.monotonically_increasing_id())
     return materialize(ordered.select(F.monotonically_increasing_id().alias("rid"), *names), "keyed")
 
 
@@ -80,7 +81,7 @@ def running_sums(df: DataFrame, order: list, sums: list[str], name: str) -> Data
     each partition) are carried on through the driver. ``df`` should hold narrow rows.
     """
     spark = df.sparkSession
-    flat = materialize(df.orderBy(*order).select("*", F.monotonically_increasing_id().alias("_pos")), name)
+    flat = materialize(df.orderBy(*order, F.monotonically_increasing_id()).select("*", F.monotonically_increasing_id().alias("_pos")), name)
     flat = flat.withColumn("_part", F.shiftright("_pos", 33))
     totals = flat.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums]).orderBy("_part").collect()
     base: list[tuple] = []

@@ -8,6 +8,7 @@ source yields differs from its target by the size of about one document.
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,26 +39,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, s
     ``sizes(source, size)``. Sources in order of code points, null last, take the weights in turn.
     All sizes together are shared out by weight; no target is over ``most`` times its source's
     size, and what that cuts off is reshared among the rest by weight until none is above. In
-    order of size over weight the cut sources come first, so one pass over the sources' sums
-    settles it. Only rows of sources, summed before, meet in the windows.
+    order of size over weight the cut sources come first, so one pass over the sources' running
+    sums settles it; ranks and sums are those of range sorts, so there may be any number of sources.
     """
+    scale = 2.0 ** (40 - math.ceil(math.log2(max(weights))))  # weights as whole numbers: sums are exact
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("rank", F.row_number().over(in_order) - 1).withColumn("weight", weight)
-    full = F.col("source_size") * most / F.col("weight")
-    before = Window.orderBy("full", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("full", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    shared = ranked.withColumn("full", full).withColumn("level", left / open_weight).withColumn("cut", F.col("level") > F.col("full"))
-    level = F.first(F.when(~F.col("cut"), F.col("level")), ignorenulls=True).over(everything)
-    target = F.when(F.col("cut"), (F.col("source_size") * most).cast("double")).otherwise(F.col("weight") * F.col("_level"))
+    ranked = running_sums(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], ["one"], "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(round(w * scale)).cast("long") for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "source_size", F.col("before_one").alias("rank")).withColumn("weight", weight)
+    full = F.col("source_size") * most / (F.col("weight") / scale)
+    shared = running_sums(ranked.withColumn("full", full), ["full", "rank"], ["source_size", "weight"], "mix-levels")
+    everything = ranked.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    left = F.col("all_size") - most * F.col("before_source_size")
+    shared = shared.crossJoin(F.broadcast(everything)).withColumn("level", left / ((F.col("all_weight") - F.col("before_weight")) / scale))
+    shared = shared.withColumn("cut", F.col("level") > F.col("full"))
+    level = shared.where(~F.col("cut")).agg(F.min_by("level", F.struct("full", "rank")).alias("_level"))
+    target = F.when(F.col("cut"), (F.col("source_size") * most).cast("double")).otherwise(F.col("weight") / scale * F.col("_level"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        shared.withColumn("_level", level).withColumn("target", target)
+        shared.crossJoin(F.broadcast(level)).withColumn("target", target)
         .withColumn("expected", F.floor(rate * UNIT + 0.5).cast("long"))
-        .select("source", "source_size", "target", "expected", F.pmod(F.col("rank").cast("long") % SOURCES * STEP + first_offset(seed), F.lit(UNIT)).alias("offset"))
+        .select("source", "source_size", "target", "expected", F.pmod(F.col("rank") % SOURCES * STEP + first_offset(seed), F.lit(UNIT)).alias("offset"))
     )
 
 
