@@ -5,20 +5,22 @@ threshold. A sampled token is a child of the set's node; sampling goes on below
 hash, ``depth`` levels down, which makes a tree of token paths. Similar sets follow shared paths
 (each shared child is a branch of a surviving process), others part. Sets that end in the same
 leaf meet there: small leaves are compared as they are, larger ones in blocks of rows against
-blocks of rows, and of leaves with the same members one. Runs with fresh hashes are repeated until a pair at the threshold is found with
-the target probability.
+blocks of rows, and of leaves with the same members one. Runs with fresh hashes are repeated until
+a pair at the threshold is found with the target probability.
 
-Leaves compare bottom-k sketches and yield candidate groups; each group's whole sets are then
-compared exactly once, by blocks of an incidence matrix. Copies of a set are joined before all
-this and only counted, and no pair of rows is ever emitted: tasks return links per document and
-one edge per document and group.
+Leaves compare bottom-k sketches (whole sets, if they are small) and yield candidate groups; each
+group's whole sets are then compared exactly once, by blocks of an incidence matrix. Copies of a
+set are joined before all this and only counted, and no pair of rows is ever emitted: tasks return
+links per document and one edge per document and group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -26,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import keyed, materialize, partitions, table, trimmed
+from .common import keyed, materialize, partitions, scratch_path, table, trimmed
 from .components import connected_components
+from .files import open_file, write_file
 
 GRAM = 5
 THRESHOLD = 0.8
 DEPTH = 4
 RECALL = 0.999
-SKETCH = 64
-#: Sets that are compared in one task; larger groups are dealt as blocks against blocks.
+SKETCH = 128
+#: Sets of a group, and members of a leaf, that meet in one task; larger ones are compared block by
+#: block.
 BLOCK = 2048
+#: Partitions of pairs of blocks, at most: a task takes one pair after the other.
+MOST_TASKS = 1 << 15
 
 
 def survival(threshold: float, depth: int) -> float:
@@ -111,13 +117,14 @@ def _incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     return rows[keep], number[column[keep]], int(shared.sum())
 
 
-def shared_counts(sets: list[np.ndarray], block: int = 256, columns: int = 1024):
-    """For row blocks lo:hi of the sets, the sizes of their intersections with all sets."""
+def shared_counts(sets: list[np.ndarray], block: int = 256, columns: int = 1024, upto: int | None = None):
+    """For row blocks lo:hi of the sets (the first ``upto``), the sizes of their intersections with all sets."""
     rows, cols, width = _incidence(sets)
     order = np.lexsort((rows, cols))
     rows, cols = rows[order], cols[order]
-    for lo in range(0, len(sets), block):
-        hi = min(lo + block, len(sets))
+    upto = len(sets) if upto is None else upto
+    for lo in range(0, upto, block):
+        hi = min(lo + block, upto)
         out = np.zeros((hi - lo, len(sets)), np.float32)
         for a in range(0, width, columns):
             i, j = np.searchsorted(cols, a), np.searchsorted(cols, a + columns)
@@ -145,26 +152,40 @@ class Components:
                 self.label[np.isin(self.label, mine)] = least
 
 
-def _alike(sketches: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+def least_shared(a: np.ndarray, b: np.ndarray, threshold: float, sketch: int = SKETCH) -> np.ndarray:
+    """Elements that the sketches of sets of a and b elements share if the sets are alike.
+
+    Alike sets share t (a + b) / (1 + t) elements. Sets no larger than their sketch are there
+    whole: exact, but for two elements that may fall together in 32 bits. Else the larger set's
+    smallest hashes are the sample, from which six standard deviations are taken off.
+    """
+    most = np.maximum(a, b)
+    shared = threshold * (a + b) / (1 + threshold)
+    share = np.minimum(shared / most, 1.0)
+    sampled = sketch * share - 6 * np.sqrt(sketch * share * (1 - share))
+    return np.where(most <= sketch, shared - 2, sampled)
+
+
+def _alike(sketches: list[np.ndarray], size: np.ndarray, threshold: float) -> np.ndarray:
     """For each member of a leaf the least member of its component of agreeing sketches.
 
-    Loose: a pair at the threshold shares far more of its sketches, but for bad luck beyond six
-    standard deviations; the exact comparison decides later.
+    No pair at the threshold is lost, but for luck beyond six standard deviations; the exact
+    comparison decides later on those that only look alike.
     """
-    width = np.array([len(s) for s in sketches])
+    size = size.astype(float)
     if len(sketches) == 2:
         shared = len(np.intersect1d(*sketches, assume_unique=True))
-        return np.array([0, int(shared < 0.5 * width.min() or size.min() < 0.75 * size.max())])
+        return np.array([0, int(shared < least_shared(size[0], size[1], threshold) or size.min() < threshold * size.max() - 1e-6)])
     parts = Components(len(sketches))
     for lo, hi, shared in shared_counts(sketches):
-        alike = shared >= 0.5 * np.minimum(width[lo:hi, None], width[None, :])
-        alike &= np.minimum(size[lo:hi, None], size[None, :]) >= 0.75 * np.maximum(size[lo:hi, None], size[None, :])
+        a, b = size[lo:hi, None], size[None, :]
+        alike = (shared >= least_shared(a, b, threshold)) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-6)
         alike[np.arange(hi - lo), np.arange(lo, hi)] = False
         parts.add(lo, alike)
     return parts.label
 
 
-def _leaf_edges(batches):
+def _leaf_edges(batches, threshold: float):
     """Rows sorted by (leaf, lo, hi, rid): for each task's members (member, least of its component).
 
     Small groups are many: they are cut from whole batches, and only one group is held over.
@@ -184,7 +205,7 @@ def _leaf_edges(batches):
         sketch = rows["sketch"].to_numpy()
         a, b, at = [], [], 0
         for end in ends:
-            label = _alike([np.frombuffer(s, np.uint32) for s in sketch[at:end]], size[at:end])
+            label = _alike([np.frombuffer(s, np.uint32) for s in sketch[at:end]], size[at:end], threshold)
             other = np.flatnonzero(label != np.arange(end - at))
             a.append(rid[at + other])
             b.append(rid[at + label[other]])
@@ -194,46 +215,109 @@ def _leaf_edges(batches):
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
 
-def _exact(pdf: pd.DataFrame, gram: int, threshold: float) -> pd.DataFrame:
-    """Links and edges between the rows of one block, or of two blocks (side 0 against side 1)."""
-    pdf = pdf.sort_values("rid")
-    rid, copies, side = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-    sets = [shingles(t, gram) for t in pdf["text"]]
+def _linked(rid: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], threshold: float, first: int | None = None) -> pd.DataFrame:
+    """Links and edges between all rows; with ``first``, between that many rows and the others only."""
     size = np.array([len(s) for s in sets])
     links = np.zeros(len(rid), np.int64)
-    across = bool((side != side[0]).any())
     parts = Components(len(rid))
-    for lo, hi, shared in shared_counts(sets):
+    for lo, hi, shared in shared_counts(sets, upto=first):
         # |x and y| / |x or y| >= t, in whole numbers but for one product
         union = size[lo:hi, None] + size[None, :] - shared
         alike = shared >= threshold * union - 1e-6
-        alike[np.arange(hi - lo), np.arange(lo, hi)] = False
-        if across:
-            alike &= side[lo:hi, None] != side[None, :]
-        links[lo:hi] = alike @ copies
+        if first is None:
+            alike[np.arange(hi - lo), np.arange(lo, hi)] = False
+        else:
+            alike[:, :first] = False
+            links += copies[lo:hi] @ alike
+        links[lo:hi] += alike @ copies
         parts.add(lo, alike)
     return pd.DataFrame({"rid": rid, "links": links, "root": rid[parts.label]})
 
 
-def _in_blocks(rows: DataFrame, group: str, block: int, once: bool = False) -> DataFrame:
-    """Rows of each group with two or more, with the keys of the tasks that compare them.
+def _exact(pdf: pd.DataFrame, gram: int, threshold: float) -> pd.DataFrame:
+    """Links and edges within a group that one task holds."""
+    pdf = pdf.sort_values("rid")
+    return _linked(pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), [shingles(t, gram) for t in pdf["text"]], threshold)
+
+
+def _write_block(pdf: pd.DataFrame, folder: str, gram: int) -> pd.DataFrame:
+    """The sets of one block of a large group, as a file."""
+    pdf = pdf.sort_values("rid")
+    sets = [shingles(t, gram) for t in pdf["text"]]
+    out = io.BytesIO()
+    np.savez(out, rid=pdf["rid"].to_numpy(), copies=pdf["copies"].to_numpy(), size=np.array([len(s) for s in sets]), tokens=np.concatenate(sets))
+    path = f"{folder}/{uuid.uuid4().hex}.sets"  # another attempt of this task writes another file
+    write_file(path, [out.getvalue()])
+    return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "own": pdf["own"].iloc[:1], "path": [path]})
+
+
+def _read_block(path: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    with open_file(path) as f, np.load(io.BytesIO(f.read())) as x:
+        return x["rid"], x["copies"], np.split(x["tokens"], np.cumsum(x["size"])[:-1])
+
+
+def _compare_blocks(batches, threshold: float):
+    """Links and edges within the block of ``a``, or between those of ``a`` and ``b``."""
+    for pdf in batches:
+        for a, b in pdf[["a", "b"]].itertuples(index=False, name=None):
+            rid, copies, sets = _read_block(a)
+            if a == b:
+                yield _linked(rid, copies, sets, threshold)
+            else:
+                other = _read_block(b)
+                yield _linked(np.concatenate([rid, other[0]]), np.concatenate([copies, other[1]]), sets + other[2], threshold, len(rid))
+
 
-    A group of up to ``block`` rows is one task. A larger one is cut into blocks, and each row
-    goes to the pairs of blocks that hold its own: every two rows meet in one task. ``once``: of
-    groups with the same members one is enough (they are told apart by 128 bits of hashes).
+def _compared(close: DataFrame, sets: DataFrame, rows: DataFrame, threshold: float, gram: int, block: int) -> DataFrame:
+    """``rid, links, root`` from the exact comparison of all sets of each group of ``close(rid, grp)``.
+
+    A group of up to ``block`` sets is one task. The sets of a larger one are written once, as files
+    of a block each; tasks read two files and compare them, so the comparisons grow with the square
+    of the group, but neither the texts that are shuffled nor the sets that are made.
+    """
+    sizes = materialize(close.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("members")), "jaccard-sizes")
+    members = close.join(sizes, F.col("grp") == F.col("g")).drop("g").join(sets.select("rep", "copies"), F.col("rid") == F.col("rep")).drop("rep")
+    texts = rows.select(F.col("rid").alias("r"), "text")
+    whole = members.join(texts, F.col("rid") == F.col("r")).select("rid", "text", "copies", "grp", "members")
+    schema = "rid long, links long, root long"
+    exact = whole.where(F.col("members") <= block).drop("members").groupBy("grp").applyInPandas(lambda p: _exact(p, gram, threshold), schema)
+    if sizes.where(F.col("members") > block).isEmpty():
+        return exact
+    folder = scratch_path(rows.sparkSession, "jaccard-blocks")
+    parted = whole.where(F.col("members") > block).withColumn("own", F.pmod(F.xxhash64("rid"), F.ceil(F.col("members") / block)).cast("int"))
+    files = parted.groupBy("grp", "own").applyInPandas(lambda p: _write_block(p, folder, gram), "grp long, own int, path string")
+    files = materialize(files, "jaccard-block-files")
+    pairs = files.select("grp", F.col("own").alias("i"), F.col("path").alias("a")).join(files.select("grp", F.col("own").alias("j"), F.col("path").alias("b")), "grp").where("i <= j")
+    dealt = pairs.select("a", "b").repartition(max(partitions(rows.sparkSession), min(MOST_TASKS, pairs.count())))
+    return exact.unionAll(dealt.mapInPandas(trimmed(lambda b: _compare_blocks(b, threshold)), schema))
+
+
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members(rid, leaf)`` of leaves with two or more, with the keys of the tasks that compare them.
+
+    A leaf of up to ``block`` rows is one task. A larger one is cut into blocks, and each row
+    goes to the pairs of blocks that hold its own: every two rows meet in one task. Of leaves with
+    the same members one is enough (they are told apart by 128 bits of hashes).
     """
-    members = F.count(F.lit(1)).alias("members")
-    sizes = rows.groupBy(group).agg(members, F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y"))
-    sizes = sizes.where("members > 1").withColumnRenamed(group, "g")
-    if once:
-        sizes = sizes.groupBy("members", "x", "y").agg(F.min("g").alias("g"))
-    rows = rows.join(sizes.select("g", "members"), rows[group] == sizes["g"]).drop("g")
+    sizes = members.groupBy(F.col("leaf").alias("g")).agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
+    )
+    sizes = sizes.where("members > 1").groupBy("members", "x", "y").agg(F.min("g").alias("g"))
+    rows = members.join(sizes.select("g", "members"), F.col("leaf") == F.col("g")).drop("g")
     count = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("rid"), count).cast("int")
     rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), count - 1)))
-    lo, hi = F.least("own", "with"), F.greatest("own", "with")
-    # A block against itself is a task of one side; two blocks make a task of two.
-    return rows.withColumns({"lo": lo, "hi": hi, "side": ((lo < hi) & (F.col("own") == hi)).cast("int")}).drop("members", "own", "with")
+    return rows.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).drop("members", "own", "with")
+
+
+def _candidates(signed: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``id, root``: the components of what looks alike in some leaf."""
+    own = signed.select("rid", "leaves").join(sets.select("rep"), F.col("rid") == F.col("rep"), "left_semi")
+    met = _in_blocks(own.select("rid", F.explode("leaves").alias("leaf")), block)
+    met = met.join(signed.select(F.col("rid").alias("r"), "size", "sketch"), F.col("rid") == F.col("r")).drop("r")
+    dealt = met.repartition(partitions(signed.sparkSession), "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "rid")
+    edges = dealt.select("leaf", "lo", "hi", "rid", "size", "sketch").mapInPandas(trimmed(lambda b: _leaf_edges(b, threshold)), "a long, b long")
+    return connected_components(edges, "jaccard-candidates")
 
 
 def jaccard_groups(rows: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -244,21 +328,9 @@ def jaccard_groups(rows: DataFrame, threshold: float = THRESHOLD, gram: int = GR
     sets = signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = materialize(sets, "jaccard-sets")
 
-    own = signed.select("rid", "size", "sketch", "leaves").join(sets.select("rep"), F.col("rid") == F.col("rep"), "left_semi")
-    members = own.select("rid", F.explode("leaves").alias("leaf"))
-    met = _in_blocks(members, "leaf", block, once=True)
-    met = met.join(signed.select(F.col("rid").alias("r"), "size", "sketch"), F.col("rid") == F.col("r")).drop("r")
-    dealt = met.repartition(partitions(rows.sparkSession), "leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "rid")
-    candidates = dealt.select("leaf", "lo", "hi", "rid", "size", "sketch").mapInPandas(trimmed(_leaf_edges), "a long, b long")
-    groups = connected_components(candidates, "jaccard-candidates")
-
-    copies = sets.select("rep", "copies")
+    groups = _candidates(signed, sets, threshold, block)
     close = groups.select(F.col("id").alias("rid"), F.col("root").alias("grp"))
-    tasks = _in_blocks(close, "grp", block).join(copies, F.col("rid") == F.col("rep")).drop("rep")
-    texts = rows.select(F.col("rid").alias("r"), "text")
-    compared = tasks.join(texts, F.col("rid") == F.col("r")).select("rid", "text", "copies", "side", "grp", "lo", "hi")
-    exact = compared.groupBy("grp", "lo", "hi").applyInPandas(lambda p: _exact(p, gram, threshold), "rid long, links long, root long")
-    exact = materialize(exact, "jaccard-links")
+    exact = materialize(_compared(close, sets, rows, threshold, gram, block), "jaccard-links")
     links = exact.groupBy("rid").agg(F.sum("links").alias("linked")).withColumnRenamed("rid", "l")
     roots = connected_components(exact.select(F.col("rid").alias("a"), F.col("root").alias("b")), "jaccard-classes")
 
@@ -279,7 +351,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     * null and empty texts, or white space alone, have no n-grams and link to nothing, not even to
       each other. Under ``gram`` words the whole text is the one n-gram.
     * repeated rows are documents of their own, linked as copies; null doc_ids too.
-    * empty table: no rows. Other columns are ignored.
+    * empty table: no rows. Other columns are ignored. Very long texts are compared whole: their
+      paths and incidence are made in slices.
     """
     rows = keyed(docs)
     found = jaccard_groups(rows, threshold, gram, depth, recall, block)
@@ -289,7 +362,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
 
 
 def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` that are the earliest of their class, all columns as they are."""
+    """The rows of ``docs`` that are the earliest of their class, all columns as they are.
+
+    Rows without words (null or empty texts) are alone in their class and stay; of equal rows one
+    stays; null doc_ids come last; an empty table stays empty. See ``jaccard_join``.
+    """
     rows = keyed(docs, whole=True)
     found = jaccard_groups(rows.select("rid", "text"), threshold, gram, depth, recall)
     first = found.where("root = rid").select(F.col("rid").alias("r"))
