@@ -9,6 +9,10 @@ from tessera.functions.text import jaccard, normalize_text, term_tokens, tokeniz
 from tessera.sources.shared import materialize
 
 MIN_DF, MAX_DF = 3, 0.9
+#: Sums count whole numbers, 2^-22 and 2^-44 apart, in longs: all terms that an array holds fit.
+STEP = float(1 << 22)
+#: Cosines are multiples of 2^-42, which is more than the sums' parts and the division change.
+GRID = float(1 << 42)
 
 
 def add_pair_texts(pairs: DataFrame, query: str, item: str) -> DataFrame:
@@ -49,16 +53,27 @@ def weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.join(vocab, "term").select("row_id", "term", (F.col("tf_q") * F.col("idf")).alias("w_q"), (F.col("tf_i") * F.col("idf")).alias("w_i"))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of numbers from 0, to 2^-44 each, that is the same in any order."""
+    whole = F.floor(x)
+    rest = (x - whole) * STEP
+    part = F.floor(rest)
+    return F.sum(whole) + (F.sum(part) + F.sum(F.rint((rest - part) * STEP).cast("long")) / STEP) / STEP
+
+
 def cosine(pairs: DataFrame, row_id: str = "row_id", min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     """``row_id, tfidf_cos`` for the rows whose two texts both keep a term; others have cosine 0.
 
-    The terms are cut and counted once, and written for the vocabulary and the weights.
+    The terms are cut and counted once, and written for the vocabulary and the weights. Equal cosines
+    are equal numbers, whatever the order of the sums: a threshold is often some rows' own cosine, and
+    the rules must not part such rows. Texts of equal terms have cosine 1.
     """
     terms = materialize(pair_terms(pairs, row_id), "pair-terms")
     w = weights(terms, vocabulary(terms, corpus_size(pairs), min_df, max_df))
-    length = lambda c: F.sqrt(F.sum(c * c))
-    sums = w.groupBy("row_id").agg(F.sum(F.col("w_q") * F.col("w_i")).alias("dot"), length(F.col("w_q")).alias("q"), length(F.col("w_i")).alias("i"))
-    return sums.where("q > 0 and i > 0").select("row_id", (F.col("dot") / (F.col("q") * F.col("i"))).alias("tfidf_cos"))
+    product = lambda a, b: exact_sum(F.col(a) * F.col(b))
+    sums = w.groupBy("row_id").agg(product("w_q", "w_i").alias("dot"), product("w_q", "w_q").alias("q"), product("w_i", "w_i").alias("i"))
+    cos = F.col("dot") / F.sqrt(F.col("q") * F.col("i"))
+    return sums.where("q > 0 and i > 0").select("row_id", (F.rint(cos * GRID) / GRID).alias("tfidf_cos"))
 
 
 def add_cosine(pairs: DataFrame, row_id: str = "row_id", min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:

@@ -39,6 +39,27 @@ def test_cosine_by_hand(spark):
     assert got == pytest.approx(python_cosine(pairs, 2, 0.9))
 
 
+def test_equal_cosines_are_equal_numbers(spark):
+    words = [[f"w{(i * 7 + j * j) % 83}" for j in range(40 + i)] for i in range(60)]
+    pairs = [(" ".join(w), " ".join(w[::-1] * (1 + i % 3))) for i, w in enumerate(words)]
+    same = [(" ".join(w), " ".join(w)) for w in words]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs * 2 + same)], "row_id long, q_norm string, i_norm string")
+    runs = [[r["tfidf_cos"] for r in S.add_cosine(df.repartition(n)).orderBy("row_id").collect()] for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]  # to the last bit, whatever the order of the sums
+    assert runs[0][:60] == runs[0][60:120]
+    assert set(runs[0][120:]) == {1.0}
+
+
+def test_copies_get_the_same_flags(spark):
+    """The threshold is the copies' own cosine, 1: rounding must not part them."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 83}" for j in range(40 + i)) for i in range(120)]
+    rows = [(str(i), "en", t, f"{t}!!", "0") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, language string, origin_query string, item_title string, label string")
+    df = df.withColumn("item_title", F.concat("item_title", F.lit(" x y z x/y/z")))  # words of one letter are no terms, but part Jaccard
+    got = refine.flagged(df, None).select("tfidf_cos", "hi_cos", "suspect_no_pred").collect()
+    assert {tuple(r) for r in got} == {(1.0, 1.0, True)}
+
+
 def test_idf_value(spark):
     df = spark.createDataFrame([(0, "aa bb", "aa")], "row_id long, q_norm string, i_norm string")
     terms = S.pair_terms(df)
