@@ -19,9 +19,14 @@ from array import array
 from codecs import charmap_decode
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, islice
+from operator import attrgetter
+from string import punctuation
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +42,17 @@ FILE_IDS = 1 << 22
 READ_IDS = 1 << 21
 #: Words whose ids a worker keeps: as many again that were kept before are still at hand.
 CACHE_WORDS = 250_000
+#: Characters of texts that are encoded together: each distinct piece of them is looked up once.
+TOGETHER = 1 << 23
 
 # How byte-level BPE cuts texts, and the letters it writes bytes as.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+ID = attrgetter("id")
+
+
 def byte_letters() -> str:
     """The letter of each byte: printable ones stand for themselves, others follow from U+0100."""
     others = iter(range(256, 512))
@@ -54,26 +64,8 @@ RARE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not
 RARE_ASCII = "".join(c for c in RARE_SPACE if c.isascii())
 
 
-class _Kept(dict):
-    """Ids of pieces, each encoded when it is first met.
-
-    Two generations: a full one makes room for the next but is asked before a piece is encoded
-    again, so frequent pieces stay.
-    """
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode, self.before = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.before = dict(self)
-            self.clear()
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        self[piece] = ids
-        return ids
+#: Before the first word of a text, which has no space: texts with two line feeds are encoded whole.
+START = "\n\n"
 
 
 class WordCoder:
@@ -81,8 +73,9 @@ class WordCoder:
 
     Such a tokenizer cuts a text into words before it merges anything. A single space between two
     characters that aren't white space always begins a word, and a single line feed there always
-    is one. So a text is split there, and the tokenizer's model sees each distinct piece once
-    while it is kept. Texts with any other white space, runs of it or some at an end, or with the
+    is one. So texts are split there, many at a time and as Arrow columns, and the tokenizer's model
+    sees each distinct piece once while it is kept; the ids of the texts are gathered from those of
+    their pieces. Texts with any other white space, runs of it or some at an end, or with the
     string of an added token, are encoded whole.
     """
 
@@ -99,25 +92,26 @@ class WordCoder:
         plain = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         self.fast = not self.tokenizer.normalizer and str(self.tokenizer.pre_tokenizer) == plain
         self.merge, self.cut, self.letters = self.tokenizer.model.tokenize, regex.compile(WORDS).findall, byte_letters()
-        self.kept = _Kept(self.joined)
-        self.feed = self.whole("\n")
+        #: Ids of pieces, in two generations: a full one makes room for the next but is asked before
+        #: a piece is encoded again, so frequent pieces stay.
+        self.kept, self.before = {}, {}
+        self.feed, self.tail = self.whole("\n"), lru_cache(4096)(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def joined(self, piece: str) -> bytes:
-        """The ids of a piece after its space, or with the line feed that it begins with."""
-        return self.feed + self.piece(piece[1:]) if piece[0] == "\n" else self.piece(" " + piece)
+        """The ids of a piece after its space, or with the line feed that it begins with; a text's first has START."""
+        if piece[0] != "\n":
+            return self.piece(" " + piece)
+        return self.piece(piece[len(START) :]) if piece.startswith(START) else self.feed + self.piece(piece[1:])
 
     def piece(self, text: str) -> bytes:
-        """The ids of a piece; a mark behind letters is a word of its own."""
-        body = text[1:] if text[0] == " " else text
-        if body.isalpha():
+        """The ids of a piece."""
+        if (text[1:] if text[0] == " " else text).isalpha():
             if text.isascii():
                 return self.word(text.replace(" ", self.letters[32]))
             return self.word(charmap_decode(text.encode(), "strict", self.letters)[0])
-        if body[-1] in ".,:;" and body[:-1].isalpha():
-            return (self.piece(text[:-1]) if body is text else self.kept[body[:-1]]) + self.word(body[-1])
         if text.isascii():
             return b"".join([self.word(charmap_decode(w.encode(), "strict", self.letters)[0]) for w in self.cut(text)])
         return self.whole(text)
@@ -125,13 +119,90 @@ class WordCoder:
     def word(self, letters: str) -> bytes:
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of words in byte letters, some at a time: the loops are the interpreter's own."""
+        out = []
+        for lo in range(0, len(words), 1 << 9):
+            found = list(map(self.merge, words[lo : lo + (1 << 9)]))
+            ends = [0, *accumulate(map(len, found))]
+            ids = array("I", map(ID, chain.from_iterable(found))).tobytes()
+            out += [ids[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def made(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that aren't kept; marks behind letters are a word of their own."""
+        out: list = [None] * len(pieces)
+        space, spelled = self.letters[32], lambda t: charmap_decode(t.encode(), "strict", self.letters)[0]
+        at, words, fed, marked = [], [], [], {}
+        for i, p in enumerate(pieces):
+            if p.isalpha():
+                at.append(i)
+                words.append(space + p if p.isascii() else spelled(" " + p))
+                continue
+            body = p.rstrip(punctuation)
+            if not (body.isalpha() or (body[:1] == "\n" and body[1:].isalpha())):
+                out[i] = self.joined(p)
+            elif len(body) < len(p):
+                marked.setdefault(body, []).append(i)
+            else:
+                fed.append(i)
+        for i, x in zip(at, self.words(words)):
+            out[i] = x
+        for i, x in zip(fed, self.words([spelled(pieces[i][1:]) for i in fed])):
+            out[i] = self.feed + x
+        if marked:
+            for (body, places), x in zip(marked.items(), self.ids(list(marked))):
+                for i in places:
+                    out[i] = x + self.tail(pieces[i][len(body) :])
+        return out
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces; those of a piece are kept when it is first met."""
+        out = list(map(self.kept.get, pieces))
+        lacking = [i for i, x in enumerate(out) if x is None]
+        if lacking:
+            names = [pieces[i] for i in lacking]
+            old = list(map(self.before.get, names))
+            made = iter(self.made([p for p, x in zip(names, old) if x is None]))
+            found = [next(made) if x is None else x for x in old]
+            fresh, room = zip(names, found), CACHE_WORDS - len(self.kept)
+            self.kept.update(islice(fresh, room))
+            if len(found) > room:
+                self.before, self.kept = self.kept, dict(islice(fresh, CACHE_WORDS))
+            for i, x in zip(lacking, found):
+                out[i] = x
+        return out
+
+    def odd(self, text: str) -> bool:
+        """Whether a text must be encoded whole."""
+        if not self.fast or not text or text[0] in " \n" or text[-1] in " \n" or any(t in text for t in self.added):
+            return True
+        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (RARE_ASCII if text.isascii() else RARE_SPACE))
+
     def encode(self, text: str) -> bytes:
         """The ids as native u32."""
-        odd = not self.fast or not text or text[0] in " \n" or text[-1] in " \n" or any(t in text for t in self.added)
-        if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in (RARE_ASCII if text.isascii() else RARE_SPACE)):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.piece(first) + b"".join(map(self.kept.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out = [self.whole(t) if self.odd(t) else None for t in texts]
+        plain = [i for i, x in enumerate(out) if x is None]
+        if plain:
+            pieces = pc.split_pattern(pa.array([START + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+            coded = pieces.values.dictionary_encode()
+            own = self.ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            found = np.frombuffer(b"".join(own), np.uint32)
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            starts, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+            counts = sizes[codes]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            small = np.int32 if max(ends[-1], len(found)) < 1 << 31 else np.int64
+            at = np.repeat((starts[codes] - ends[:-1]).astype(small), counts)
+            at += np.arange(len(at), dtype=small)
+            ids, cuts = found[at], ends[pieces.offsets.to_numpy()]
+            for i, lo, hi in zip(plain, cuts[:-1], cuts[1:]):
+                out[i] = ids[lo:hi].tobytes()
+        return out
 
 
 @lru_cache(1)
@@ -174,20 +245,35 @@ def _write_files(tokenizer: str, folder: str, end_id: int, file_ids: int):
         size = write_file(path, file_parts(docs, ids))
         return pd.DataFrame({"path": [path], "first_rid": [docs[0][0]], "n_docs": [len(docs)], "n_ids": [sum(map(len, ids)) // 4], "n_bytes": [size]})
 
+    def encoded(batches):
+        """(rid, doc_id, ids) of each row, its texts encoded some at a time."""
+        coder, rows, held = word_coder(tokenizer), [], 0
+
+        def some():
+            for (rid, doc_id, _), ids in zip(rows, coder.encode_all([r[2] for r in rows])):
+                yield int(rid), None if pd.isna(doc_id) else int(doc_id), ids + end
+
+        for pdf in batches:
+            for row in pdf[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
+                if rows and held + len(row[2]) > TOGETHER:
+                    yield from some()
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[2])
+        yield from some()
+        coder.before = {}  # a waiting worker keeps one generation
+
     def run(batches):
-        coder = word_coder(tokenizer)
         docs, ids, held = [], [], 0
-        for pdf in batches:
-            for rid, doc_id, text in pdf[["rid", "doc_id", "text"]].itertuples(index=False, name=None):
-                docs.append((int(rid), None if pd.isna(doc_id) else int(doc_id)))
-                ids.append(coder.encode(text) + end)
-                held += len(ids[-1]) // 4
-                if held >= file_ids:
-                    yield written(docs, ids)
-                    docs, ids, held = [], [], 0
+        for rid, doc_id, own in encoded(batches):
+            docs.append((rid, doc_id))
+            ids.append(own)
+            held += len(own) // 4
+            if held >= file_ids:
+                yield written(docs, ids)
+                docs, ids, held = [], [], 0
         if docs:
             yield written(docs, ids)
-        coder.kept.before = {}  # a waiting worker keeps one generation
 
     return run
 

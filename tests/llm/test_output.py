@@ -44,6 +44,34 @@ def test_word_coder():
         assert coder.encode(t) == coder.whole(t)
 
 
+def test_words_reach_the_model_once():
+    coder = token_output.WordCoder(token_output.default_tokenizer())
+    calls, merge = Counter(), coder.merge
+    coder.merge = lambda w: (calls.update([w]), merge(w))[1]
+    some = ["1 red lamp, red\nlamp. blue", "1 blue lamp: red. lamp%%% red%%%", "1 red\nlamp! été, été.\nété%%%", "1 lamp? lamp;\nred; blue?"]
+    for t in some:
+        assert coder.encode(t) == coder.whole(t)
+    assert max(calls.values()) == 1
+
+
+def test_texts_together(monkeypatch):
+    """Many texts at a time, pieces of all kinds, a cache that never holds them: the library's ids."""
+    rng = random.Random(3)
+    bodies = ["red", "Lampe", "été", "ñ", "a1", "12", "it's", "x_y", "a-b", "東京", "Ⅳ", "é", "(b", "<|end", "​"]
+    tails = ["", "", "", ".", ",", "...", "%%%", "'", "'s", "_", ")!", ".a", "…"]
+    some = [rng.choice([" ", "\n"]).join("".join(rng.choice(x) for x in (bodies, tails)) + rng.choice(["", "", "\nb", " c."]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    some += ["", "\n", ".", "red\n\nred", " red", "red."]
+    for size in (250_000, 7):
+        monkeypatch.setattr(token_output, "CACHE_WORDS", size)
+        coder = token_output.WordCoder(token_output.default_tokenizer())
+        for n in (1, 10, 500):
+            got = [x for i in range(0, len(some), n) for x in coder.encode_all(some[i : i + n])]
+            assert got == [coder.whole(t) for t in some]
+            assert len(coder.kept) <= size and len(coder.before) <= size
+    assert coder.encode_all([]) == []
+    assert sum(not coder.odd(t) for t in some) > 50
+
+
 def test_added_tokens(spark):
     """The ids are the library's own, also where a text holds an added token's string."""
     from tokenizers import Tokenizer
